@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def size_of(df: DataFrame, *columns: str) -> tuple[int, int]:
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
     """Slices of a batch of about `most` text bytes; a longer text has a slice of its own."""
     arr = batch.column(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(arr), 0))
+    lengths = np.asarray(pc.fill_null(pc.binary_length(arr), 0))
     at, n = 0, len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     while at < n:
@@ -121,7 +122,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes as uint8 and its n + 1 offsets; null counts as empty."""
     if arr.null_count:
-        arr = pa.compute.fill_null(arr, "")
+        arr = pc.fill_null(arr, "")
     if pa.types.is_large_string(arr.type) or pa.types.is_large_binary(arr.type):
         kind = np.int64
     else:

@@ -44,11 +44,11 @@ class Model:
                     else:
                         have += c
         self.words = {w: k for k, w in enumerate(words)}
-        self.score = self._log(np.array(list(words.values()), float).reshape(-1, len(langs)), total)
+        self.score = self._log(np.array(list(words.values()), float).reshape(-1, max(1, len(langs))), total)
         self.gram_at, self.gram_score = [], []
         for n in range(LONGEST + 1):
             self.gram_at.append({g: k for k, g in enumerate(gram[n])})
-            rows = np.array(list(gram[n].values()), float).reshape(-1, len(langs))
+            rows = np.array(list(gram[n].values()), float).reshape(-1, max(1, len(langs)))
             self.gram_score.append(self._log(rows, rows.sum(0)))
         self.forget()
 
@@ -94,6 +94,8 @@ class Model:
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language or und, probability): scores are means over a text's words; the probability takes 20 words at most as evidence."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.split_pattern_regex(texts, _SPACE_TOKENS)
         flat, off = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
@@ -103,9 +105,7 @@ class Model:
         at = np.asarray(coded.indices)
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
         count = np.bincount(doc, weights=n[at], minlength=len(texts))
-        total = np.stack([np.bincount(doc, weights=rows[at, j], minlength=len(texts)) for j in range(len(self.langs))], axis=1) if self.langs else np.zeros((len(texts), 0))
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
+        total = np.stack([np.bincount(doc, weights=rows[at, j], minlength=len(texts)) for j in range(len(self.langs))], axis=1)
         mean = total / np.maximum(count, 1)[:, None]
         z = (mean - mean.max(1, keepdims=True)) * np.minimum(count, 20)[:, None]
         p = np.exp(z)

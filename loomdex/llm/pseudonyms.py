@@ -22,6 +22,11 @@ PATTERN = f"{EMAIL}|(?=[0-9+(])(?:{'|'.join((IPV4, DATE, PHONE, SSN, CARD))})"
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often a lambda inside reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _mod_hash(key: str, tweak: str, r: Column, other: Column, radix: int) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), r.cast("string"), F.lit("|"), other.cast("string")), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % radix
@@ -95,11 +100,11 @@ def _refill(t: Column, d: Column, skip: Column) -> Column:
 
 
 def _card(t: Column, key: str) -> Column:
-    d = _digits(t)
-    body = permute_string(d.substr(F.lit(1), F.length(d) - 1), key, "card")
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    valid = F.concat(body, check.cast("string"))
-    return F.when(luhn_sum(d) % 10 == 0, _refill(t, valid, F.lit(0))).otherwise(t)
+    def valid(d: Column) -> Column:
+        body = permute_string(d.substr(F.lit(1), F.length(d) - 1), key, "card")
+        return _let(body, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
+
+    return _let(_digits(t), lambda d: F.when(luhn_sum(d) % 10 == 0, _let(valid(d), lambda x: _refill(t, x, F.lit(0)))).otherwise(t))
 
 
 def _phone(t: Column, key: str) -> Column:
@@ -107,12 +112,12 @@ def _phone(t: Column, key: str) -> Column:
     d = _digits(t)
     code = F.when(t.startswith("+"), F.length(F.regexp_extract(t, r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})", 1))).otherwise(F.lit(0))
     rest = d.substr(code + 1, F.length(d))
-    return F.when((F.length(d) >= 8) & (F.length(d) <= 15), _refill(t, permute_string(rest, key, "phone"), code)).otherwise(t)
+    return F.when((F.length(d) >= 8) & (F.length(d) <= 15), _let(permute_string(rest, key, "phone"), lambda x: _let(code, lambda k: _refill(t, x, k)))).otherwise(t)
 
 
 def _ipv4(t: Column, key: str) -> Column:
     o = F.transform(F.split(t, r"\."), lambda x: x.cast("int"))
-    p = F.transform(F.array(permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4")), lambda z: F.concat_ws(".", (z["a"] / 256).cast("int"), z["a"] % 256, (z["b"] / 256).cast("int"), z["b"] % 256))[0]
+    p = _let(permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4"), lambda z: F.concat_ws(".", (z["a"] / 256).cast("int"), z["a"] % 256, (z["b"] / 256).cast("int"), z["b"] % 256))
     return F.when(F.forall(o, lambda x: x <= 255), p).otherwise(t)
 
 
@@ -134,13 +139,13 @@ def _date(t: Column, key: str) -> Column:
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), (z["a"] * DAYS[1] + z["b"]).cast("int"))
         return F.when(shape == "yyyy-MM-dd", F.date_format(new, "yyyy-MM-dd")).when(shape == "MM/dd/yyyy", F.date_format(new, "MM/dd/yyyy")).when(shape == "dd/MM/yyyy", F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
 
-    moved = F.transform(F.array(permute_pair((day / DAYS[1]).cast("int"), day % DAYS[1], *DAYS, key, "date")), written)[0]
+    moved = _let(permute_pair((day / DAYS[1]).cast("int"), day % DAYS[1], *DAYS, key, "date"), written)
     return F.when(day.isNull(), t).otherwise(moved)
 
 
 def _ssn(t: Column, key: str) -> Column:
     ok = ~t.rlike("^(000|666|9)|-00-|-0000$")
-    return F.when(ok, _refill(t, permute_string(_digits(t), key, "ssn"), F.lit(0))).otherwise(t)
+    return F.when(ok, _let(permute_string(_digits(t), key, "ssn"), lambda x: _refill(t, x, F.lit(0)))).otherwise(t)
 
 
 def _email(t: Column, key: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     if not total:
         return none
     sample = nodes.where(F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 20)) < F.lit(min(1 << 20, -(-(fit << 20) // total)))).select("v").limit(2 * fit).toArrow().column("v").combine_chunks()
-    size = np.asarray(pa.compute.list_value_length(sample))
+    size = np.asarray(pc.list_value_length(sample))
     dim = int(np.bincount(size).argmax())
     x = np.asarray(sample.filter(pa.array(size == dim)).flatten()).reshape(-1, dim)
     z = Quantiser(x, int(min(MOST_LISTS, max(1, len(x) // 8), max(1, round(total**0.5)))), probes=probes)
@@ -145,7 +146,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
             for k in range(0, batch.num_rows, 4096):
                 part = batch.slice(k, 4096)
                 v = part.column("v")
-                part = part.filter(pa.compute.equal(pa.compute.list_value_length(v), dim))
+                part = part.filter(pc.equal(pc.list_value_length(v), dim))
                 if not part.num_rows:
                     continue
                 x = _unit(np.asarray(part.column("v").flatten()).reshape(-1, dim))
