@@ -17,33 +17,35 @@ from dataclasses import dataclass
 import numpy as np
 
 _HEAD = struct.Struct("<4sIIIIQQ")
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = {np.dtype(np.uint32): (np.uint32(0x9E3779B1), 32), np.dtype(np.uint64): (np.uint64(0x9E3779B97F4A7C15), 64)}
 
 
-def _places(key: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Index into chosen (sorted) of every key, -1 if it isn't there."""
+def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in key of members of chosen (sorted), their indices into chosen)."""
+    factor, width = _SPREAD[key.dtype]
     bits = max(10, int(len(chosen) - 1).bit_length() + 5)
-    slot = lambda k: ((k * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
     maybe = np.zeros(1 << bits, bool)
-    maybe[slot(chosen)] = True
-    out = np.full(len(key), -1, np.int32)
-    some = np.flatnonzero(maybe[slot(key)])
-    at = np.minimum(np.searchsorted(chosen, key[some]), len(chosen) - 1)
-    ok = chosen[at] == key[some]
-    out[some[ok]] = at[ok]
-    return out
+    shift = key.dtype.type(width - bits)
+    maybe[(chosen * factor) >> shift] = True
+    some = np.flatnonzero(maybe[(key * factor) >> shift])
+    near = key[some]
+    at = np.minimum(np.searchsorted(chosen, near), len(chosen) - 1)
+    ok = chosen[at] == near
+    return some[ok], at[ok]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 5, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(base, left, right, expansion lengths, symbols, each document's end in symbols).
 
     Each round counts every adjacent pair of the shard, takes the most frequent ones that occur `least` times or more, and replaces
     their occurrences from left to right, where chosen pairs overlap the earlier; a pair that keeps fewer than `least` is put back. Symbols stay
-    under 2 ** 16 if the ids leave room.
+    under 2 ** 16 if the ids leave room; pairs are then counted as 32-bit numbers.
     """
     base = max(1, int(ids.max()) + 1 if len(ids) else 1)
-    room = (1 << 16) - base if base < 1 << 16 else 1 << 20
-    s = ids.astype(np.uint32)
+    narrow = base < 1 << 16
+    room = (1 << 16) - base if narrow else 1 << 20
+    kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+    s = ids.astype(kind)
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
     left, right, size = [], [], np.ones(base, np.uint32)
@@ -51,12 +53,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 5,
     for _ in range(rounds):
         if len(s) < 2 or made >= room:
             break
-        inner = np.flatnonzero(~last[:-1])
-        key = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        if base + made <= 1 << 16:
-            order = np.sort(((s[:-1] << np.uint32(16)) | s[1:])[inner])
-        else:
-            order = np.sort(key[inner])
+        key = (s[:-1] << kind(half)) | s[1:]
+        inner = ~last[:-1]
+        order = key[inner]
+        order.sort()
         if not len(order):
             break
         cut = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
@@ -64,38 +64,36 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 5,
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        if len(often) > min(per_round, room - made):
-            n = min(per_round, room - made)
+        n = min(per_round, room - made)
+        if len(often) > n:
             often = often[np.argpartition(-count[often], n - 1)[:n]]
-        pair = order[cut[often]].astype(np.uint64)
-        if base + made <= 1 << 16:
-            pair = ((pair >> np.uint64(16)) << np.uint64(32)) | (pair & np.uint64(0xFFFF))
-        chosen = np.sort(pair)
-        which = _places(key, chosen)
-        which[last[:-1]] = -1
-        for _again in range(2):  # once more without the pairs that overlaps left too rare
-            at = np.flatnonzero(which >= 0)
+        chosen = np.sort(order[cut[often]])
+        del order, cut, count
+        at, which = _places(key, chosen)
+        ok = inner[at]
+        at, which = at[ok], which[ok]
+        for again in range(2):  # once more without the pairs that overlaps left too rare
             fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
             run = np.maximum.accumulate(np.where(fresh, at, 0))
-            at = at[(at - run) % 2 == 0]
-            used = np.bincount(which[at], minlength=len(chosen))
-            poor = used < least
-            if not poor.any() or _again:
+            free = (at - run) % 2 == 0
+            poor = np.bincount(which[free], minlength=len(chosen)) < least
+            if again or not poor.any():
                 break
-            which[at[poor[which[at]]]] = -1
-            which[(which >= 0) & poor[which]] = -1
-        at = at[~poor[which[at]]]
+            ok = ~poor[which]
+            at, which = at[ok], which[ok]
+        ok = free & ~poor[which]
+        at, which = at[ok], which[ok]
         good = np.flatnonzero(~poor)
         if not len(good):
             break
-        rename = np.zeros(len(chosen), np.uint32)
-        rename[good] = base + made + np.arange(len(good), dtype=np.uint32)
-        a, b = (chosen[good] >> np.uint64(32)).astype(np.uint32), (chosen[good] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        rename = np.zeros(len(chosen), kind)
+        rename[good] = base + made + np.arange(len(good), dtype=kind)
+        a, b = (chosen[good] >> kind(half)).astype(np.uint32), (chosen[good] & kind((1 << half) - 1)).astype(np.uint32)
         left.append(a)
         right.append(b)
         size = np.concatenate([size, size[a] + size[b]])
         made += len(good)
-        s[at] = rename[which[at]]
+        s[at] = rename[which]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         last[at] |= last[at + 1]

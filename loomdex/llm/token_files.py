@@ -15,7 +15,7 @@ from loomdex.llm.encode import encoder
 from loomdex.llm.grammar import Shard, pack_shard
 
 #: Tokens after which a shard is closed.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 _FILES = "part int, seq int, part_start long, n_docs int, n_tokens long, payload binary"
 
 
