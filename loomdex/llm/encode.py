@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct chunks that a worker remembers between blocks; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+#: Distinct chunks that a worker remembers between blocks; beyond it those go that didn't come again since the last time.
+REMEMBERED = 900_000
 #: White space other than single spaces and line ends between other characters.
 _OTHER_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text to encode at a time.
+ENCODE_BYTES = 8 << 20
 _encoders: dict[str, Encoder] = {}
 
 
@@ -54,6 +56,17 @@ class Encoder:
         line = np.array(self._ids("\n"), np.uint32)
         self.known = pa.array(["", "\n"], pa.large_string())
         self.flat, self.size, self.begin = line, np.array([0, len(line)], np.int64), np.array([0, 0], np.int64)
+        self.again = np.ones(2, bool)
+
+    def _forget(self) -> None:
+        keep = self.again if self.again.sum() < REMEMBERED // 2 else np.zeros(len(self.again), bool)
+        keep[:2] = True
+        at = np.flatnonzero(keep)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.begin[at] - ends + size, size) + np.arange(ends[-1])]
+        self.known, self.size, self.begin = self.known.take(pa.array(at)), size, ends - size
+        self.again = np.zeros(len(at), bool)
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of chunks none of which is empty."""
@@ -88,8 +101,9 @@ class Encoder:
     def _numbers(self, chunks: pa.Array) -> np.ndarray:
         """Each distinct chunk's number among the remembered ones; new ones are encoded."""
         if len(self.known) > REMEMBERED:
-            self.clear()
+            self._forget()
         at = pc.index_in(chunks, value_set=self.known)
+        self.again[np.asarray(at.drop_null())] = True
         if at.null_count:
             gone = np.flatnonzero(np.asarray(at.is_null()))
             new = chunks.take(pa.array(gone))
@@ -97,6 +111,7 @@ class Encoder:
             start = len(self.known)
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             self.known = pa.concat_arrays([self.known, new])
             out = np.asarray(at.fill_null(-1)).astype(np.int64)
             out[gone] = start + np.arange(len(gone))
@@ -140,8 +155,10 @@ class Encoder:
             which = self._numbers(names)[index]
         size = self.size[which]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.begin[which] - ends[:-1], size) + np.arange(ends[-1])]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size)]
         starts = ends[off]
+        del lists, chunks, coded, index, which
+        pa.default_memory_pool().release_unused()
         if odd.any():
             parts = [ids[starts[k] : starts[k + 1]] for k in range(len(texts))]
             where = np.flatnonzero(odd)

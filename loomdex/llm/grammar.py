@@ -18,27 +18,28 @@ import numpy as np
 
 _HEAD = struct.Struct("<4sIIIIQQ")
 _SPREAD = {np.dtype(np.uint32): (np.uint32(0x9E3779B1), 32), np.dtype(np.uint64): (np.uint64(0x9E3779B97F4A7C15), 64)}
+_SLOTS = 18
 
 
-def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in key of members of chosen (sorted), their indices into chosen)."""
+def _slot(key: np.ndarray) -> np.ndarray:
     factor, width = _SPREAD[key.dtype]
-    bits = max(10, int(len(chosen) - 1).bit_length() + 5)
-    maybe = np.zeros(1 << bits, bool)
-    shift = key.dtype.type(width - bits)
-    maybe[(chosen * factor) >> shift] = True
-    some = np.flatnonzero(maybe[(key * factor) >> shift])
-    near = key[some]
-    at = np.minimum(np.searchsorted(chosen, near), len(chosen) - 1)
-    ok = chosen[at] == near
-    return some[ok], at[ok]
+    return (key * factor) >> key.dtype.type(width - _SLOTS)
+
+
+def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in key of members of chosen, their indices into chosen); of two members with one slot only the later is found."""
+    table = np.zeros(1 << _SLOTS, np.int32)
+    table[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+    which = table[_slot(key)]
+    at = np.flatnonzero(chosen[which] == key)
+    return at, which[at]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(base, left, right, expansion lengths, symbols, each document's end in symbols).
 
     Each round counts every adjacent pair of the shard, takes the most frequent ones that occur `least` times or more, and replaces
-    their occurrences from left to right, where chosen pairs overlap the earlier; a pair that keeps fewer than `least` is put back. Symbols stay
+    their occurrences from left to right, where chosen pairs overlap the earlier; a pair that keeps fewer than `least`, or shares its slot in the lookup table, waits for the next round. Symbols stay
     under 2 ** 16 if the ids leave room; pairs are then counted as 32-bit numbers.
     """
     base = max(1, int(ids.max()) + 1 if len(ids) else 1)

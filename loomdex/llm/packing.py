@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomdex.llm.common import pick, ship, stored, text_blocks
-from loomdex.llm.encode import encoder
+from loomdex.llm.encode import ENCODE_BYTES, encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -31,7 +31,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1
     def each(batches):
         coder, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", ENCODE_BYTES):
                 flat, off = coder.encode(block.column("text"))
                 flat = np.insert(flat, off[1:], end_id).astype("<u4")
                 n = np.diff(off) + 1

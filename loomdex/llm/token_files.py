@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import pick, ship, text_blocks
-from loomdex.llm.encode import encoder
+from loomdex.llm.encode import ENCODE_BYTES, encoder
 from loomdex.llm.grammar import Shard, pack_shard
 
 #: Tokens after which a shard is closed.
@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
             return out
 
         for batch in batches:
-            for block in text_blocks(batch, "text"):
+            for block in text_blocks(batch, "text", ENCODE_BYTES):
                 flat, off = coder.encode(block.column("text"))
                 size = np.diff(off)
                 ids.append(np.insert(flat, off[1:], end_id).astype(np.uint32))
