@@ -1,91 +1,19 @@
-"""What the operators of this subpackage share: scratch tables, code shipping and Arrow helpers."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import os
-import tempfile
-import threading
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into numpy arrays at a time.
-BLOCK_BYTES = 4 << 20
-
-_left: dict[str, SparkSession] = {}
-_lock = threading.Lock()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or, only where that is unset (tests), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        with _lock:
-            found = getattr(spark.sparkContext, "_loomdex_shared", None)
-            if not found:
-                found = "file://" + tempfile.mkdtemp(prefix="loomdex-")
-                spark.sparkContext._loomdex_shared = found
-    return found.rstrip("/")
-
-
-def ship(spark: SparkSession) -> None:
-    """Give executors this package once per application, so that they need no install of it."""
-    sc = spark.sparkContext
-    with _lock:
-        if getattr(sc, "_loomdex_shipped", False):
-            return
-        top = Path(__file__).resolve().parents[1]
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, f"{top.name}/{p.relative_to(top)}")
-        path = os.path.join(tempfile.mkdtemp(prefix="loomdex-code-"), "loomdex_code.zip")
-        Path(path).write_bytes(data.getvalue())
-        sc.addPyFile(path)
-        sc._loomdex_shipped = True
-
+from loomdex.runtime import hadoop_path, scratch_path, ship, stored
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(FileSystem, Path) of the Hadoop API for a path in any store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+__all__ = ["distinct_name", "hadoop_path", "pick", "scratch_path", "ship", "size_of", "stored", "text_blocks", "utf8"]
 
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_path(spark, path)
-    fs.delete(p, True)
-    _left.pop(path, None)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path, spark in list(_left.items()):
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended: its owner clears the shared folder
-            return
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/loomdex/{name}-{uuid.uuid4().hex}"
-    _left[path] = spark
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and lets AQE split skewed joins on it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python worker turns into numpy arrays at a time.
+BLOCK_BYTES = 4 << 20
 
 
 def distinct_name(df: DataFrame, name: str) -> str:
