@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdex.config import CRAWL_STOP_WORDS, DEFAULT, STOP_WORDS, Config
 from loomdex.functions.stemmer import stem as _stem
+from loomdex.runtime import arrow_udf
 
 #: Contractions that tokens are expanded by; others are cut at the apostrophe.
 CONTRACTIONS = {f"{w}n't": f"{w} not" for w in "are could did do does had has have is must need should was were would".split()}
@@ -33,7 +34,7 @@ def bigrams(words: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("array<int>")
+@arrow_udf("array<int>")
 def positions(words: pd.Series) -> pd.Series:
     """Each token's character offset in the space-joined text."""
 
@@ -46,12 +47,12 @@ def positions(words: pd.Series) -> pd.Series:
     return words.map(one)
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def _stems(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else [_stem(x) for x in w])
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def stem_word(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else _stem(w))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.config import DEFAULT, Config
+from loomdex.runtime import arrow_udf
 
 
 def _half(token: Column, first: int) -> Column:
@@ -26,7 +27,7 @@ def footprints(counts: DataFrame, key: str = "doc_id") -> DataFrame:
     return sums.select(key, fold("h").alias("fp_hi"), fold("l").alias("fp_lo"))
 
 
-@F.pandas_udf("fp_hi long, fp_lo long")
+@arrow_udf("fp_hi long, fp_lo long")
 def footprint(words: pd.Series) -> pd.DataFrame:
     """The same footprint from a token array, without a shuffle."""
     import hashlib

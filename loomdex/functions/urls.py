@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomdex.config import BAD_EXTENSIONS, DEFAULT, Config
+from loomdex.runtime import arrow_udf
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
@@ -92,7 +93,7 @@ def both_queries(a: Column, b: Column) -> Column:
     return F.contains(a, F.lit("?")) & F.contains(b, F.lit("?"))
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def resolve(base: pd.Series, links: pd.Series) -> pd.Series:
     """Links joined with the page's URL, without fragments, distinct and sorted."""
     from urllib.parse import urldefrag, urljoin

@@ -20,7 +20,7 @@ def parts(queries: DataFrame, config) -> DataFrame:
     q = queries.select("query_id", analyzer.query_words(F.coalesce("q", F.lit(""))).alias("words")).where(F.size("words") > 0)
     q = q.withColumn("all_stop", analyzer.all_stop_words(F.col("words")))
     levels = F.sequence(F.lit(0), F.floor(F.log2(F.size("words").cast("double")) + 1e-9).cast("int"))
-    q = q.withColumn("level", F.explode(levels)).withColumn("n", F.shiftleft(F.lit(1), F.col("level")))
+    q = q.withColumn("level", F.explode(levels)).withColumn("n", F.expr("shiftleft(1, level)"))
     return q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*_PART, analyzer.split_words(F.col("words"), F.col("n"), F.col("part")).alias("words"), "all_stop")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import io
 import os
 import tempfile
@@ -12,6 +13,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _left: dict[str, SparkSession] = {}
 _lock = threading.Lock()
@@ -79,3 +81,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arrow_udf(schema: str):
+    """A pandas UDF made at its first use: the module can then be imported without a session, as executors do.
+
+    It counts as non-deterministic, so that the optimizer neither repeats it for each field of its result nor moves it.
+    """
+
+    def wrap(f):
+        made = []
+
+        @functools.wraps(f)
+        def use(*columns):
+            if not made:
+                made.append(F.pandas_udf(f, schema).asNondeterministic())
+            return made[0](*columns)
+
+        return use
+
+    return wrap

@@ -5,9 +5,9 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from loomdex.config import PAGE_ENDINGS
+from loomdex.runtime import arrow_udf
 
 # Elements that have no end tag, and those whose text isn't shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -86,7 +86,7 @@ def parse(html: str, url: str) -> dict:
     return {"title": title, "elems": elems, "links": p.links, "n_tags": n, "n_loc": p.tags.get("loc", 0), "is_html": bool(is_html), "error": None}
 
 
-@F.pandas_udf(PAGE)
+@arrow_udf(PAGE)
 def page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     """A page's parts; a page that can't be read has only its error."""
 
