@@ -193,11 +193,11 @@ def url_validity(spark, sf_dir):
 
 
 def bad_extension_filter(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", urls.bad_extension(F.concat("url", F.when(F.col("page_id") % 3 == 0, ".pdf").otherwise(""))).alias("bad"))
+    return _urls(spark, sf_dir).select("page_id", urls.bad_extension(F.concat("url", F.when(F.startswith("url", F.lit("https")), ".pdf").otherwise(""))).alias("bad"))
 
 
 def path_repeat_trap(spark, sf_dir):
-    u = F.concat(urls.strip_slashes(F.regexp_replace("url", "[?#].*$", "")), F.when(F.col("page_id") % 2 == 0, "/a/b/a/b/a/b/a/b/c").otherwise("/a/b"))
+    u = F.concat(urls.strip_slashes(F.regexp_replace("url", "[?#].*$", "")), F.when(F.startswith("url", F.lit("https")), "/a/b/a/b/a/b/a/b/c").otherwise("/a/b"))
     return _urls(spark, sf_dir).select("page_id", urls.is_trap(u).alias("trap"), F.array_join(urls.path_repeats(u), ",").alias("repeats"))
 
 
@@ -272,9 +272,9 @@ def longest_pages(spark, sf_dir):
 
 
 def _frontier(spark, sf_dir) -> DataFrame:
-    """Every second page's URL as a frontier, every sixth page done."""
-    u = _urls(spark, sf_dir).where("page_id % 2 = 0").select("page_id", urls.strip_slashes(F.col("url")).alias("url"))
-    return u.select(urls.url_hash(F.col("url")).alias("url_hash"), "url", (F.col("page_id") % 6 == 0).alias("completed"), F.col("page_id").alias("seq"))
+    """The pages' URLs without a query as a frontier, those by https done."""
+    u = _urls(spark, sf_dir).where(~F.contains("url", F.lit("?"))).select("page_id", urls.strip_slashes(F.col("url")).alias("url"))
+    return u.select(urls.url_hash(F.col("url")).alias("url_hash"), "url", F.startswith("url", F.lit("https")).alias("completed"), F.col("page_id").alias("seq"))
 
 
 def frontier_new_urls(spark, sf_dir):
@@ -302,7 +302,8 @@ def fetch_status(spark, sf_dir):
     from loomdex.sources.store import fetch
 
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return fetch(p.select("url"), p.where("page_id % 4 <> 0")).select("url", F.col("status").cast("long").alias("status"))
+    # the store lacks the URLs that have a fragment
+    return fetch(p.select("url"), p.where(~F.contains("url", F.lit("#")))).select("url", F.col("status").cast("long").alias("status"))
 
 
 ROBOTS = [("tionsh.example.net", 200, "User-agent: *\nDisallow: /de\nAllow: /de/1\n"), ("therha.example.net", 403, None), ("ththth.example.org", 404, None)]
@@ -401,7 +402,7 @@ def _search_sql(words: int, tail: str) -> str:
 _SPLIT = r"regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', {})"
 _U = {k: _SPLIT.format(n) for n, k in enumerate(("scheme", "netloc", "path", "query", "fragment"), 1)}
 _HASH = f"sha256(concat_ws('/', {_U['netloc']}, regexp_extract({_U['path']}, '^([^;]*)', 1), regexp_extract({_U['path']}, '^[^;]*;?(.*)$', 1), {_U['query']}, {_U['fragment']}))"
-_FRONT = f"f as (select {_HASH} as url_hash, url, page_id % 6 = 0 as completed, page_id as seq from (select page_id, regexp_replace(url, '/+$', '') as url from pages where page_id % 2 = 0))"
+_FRONT = f"f as (select {_HASH} as url_hash, url, starts_with(url, 'https') as completed, page_id as seq from (select page_id, regexp_replace(url, '/+$', '') as url from pages where not contains(url, '?')))"
 _HEX = "(('0x' || substr(md5(token), {}, 8))::bigint)"
 _CRAWL_TOK = "ct as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-zA-Z''-]{{2,}})', 1), lambda x: x not in ({})) as toks from documents)"
 
@@ -413,7 +414,7 @@ def oracle_sql() -> dict[str, str]:
     bits = lambda side, first: ", ".join(f"sum(case when ({_HEX.format(first)} >> {b}) & 1 = 1 then tf else -tf end) as {side}{b}" for b in range(32))
     fold = lambda side: " + ".join(f"(case when {side}{b} >= 1 then {1 << b} else 0 end)::bigint" for b in range(32))
     fps = f"s as (select doc_id, {bits('h', 1)}, {bits('l', 9)} from tf group by doc_id), fp as (select doc_id, {fold('h')} as fp_hi, {fold('l')} as fp_lo from s)"
-    trap_url = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || case when page_id % 2 = 0 then '/a/b/a/b/a/b/a/b/c' else '/a/b' end"
+    trap_url = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || case when starts_with(url, 'https') then '/a/b/a/b/a/b/a/b/c' else '/a/b' end"
     bigrams = f"{_POS}, bg as (select doc_id, token || ' ' || nxt as bigram, idx, pos from tp where nxt is not null)"
     title = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
     return {
@@ -450,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "url_canonical": "with u as (select page_id, regexp_replace(url, '#.*$', '') as url from pages) select page_id, regexp_replace(case when contains(split_part(url, '?', 2), '&') then split_part(url, '?', 1) || '?' || array_to_string(list_sort(string_split(split_part(url, '?', 2), '&')), '&') else url end, '/+$', '') as url from u",
         "url_hash": f"select page_id, {_HASH} as url_hash from pages",
         "url_validity": f"select page_id, lower({_U['scheme']}) in ('http', 'https') and regexp_matches(lower({_U['netloc']}), '^([-a-z0-9]+\\.)*example\\.(com|net|org)$') and not regexp_matches(lower({_U['path']}), '\\.({'|'.join(BAD_EXTENSIONS)})$') as valid from pages",
-        "bad_extension_filter": f"select page_id, regexp_matches(lower({_U['path']}), '\\.({'|'.join(BAD_EXTENSIONS)})$') as bad from (select page_id, url || case when page_id % 3 = 0 then '.pdf' else '' end as url from pages)",
+        "bad_extension_filter": f"select page_id, regexp_matches(lower({_U['path']}), '\\.({'|'.join(BAD_EXTENSIONS)})$') as bad from (select page_id, url || case when starts_with(url, 'https') then '.pdf' else '' end as url from pages)",
         "path_repeat_trap": f"""with s as (select page_id, unnest(string_split(lower({_U['path']}), '/')) as seg from (select page_id, {trap_url} as url from pages)), r as (select page_id, seg from s group by 1, 2 having count(*) > 3)
  select page_id, count(r.seg) > 0 as trap, coalesce(string_agg(r.seg, ',' order by r.seg), '') as repeats from pages left join r using (page_id) group by page_id""",
         "trap_patterns": "with u as (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as url from pages) select page_id, url as prefix, '^' || regexp_replace(url, '([.-])', '\\\\\\1', 'g') || '.*$' as permanent, 2 as n_temporary from u",
@@ -466,6 +467,6 @@ def oracle_sql() -> dict[str, str]:
         "frontier_pop": f"with {_FRONT} select url_hash, url, seq from f where not completed order by seq desc, url_hash limit 10",
         "frontier_complete": f"with {_FRONT}, p as (select url_hash from f where not completed order by seq desc, url_hash limit 10) select url_hash, completed or url_hash in (select url_hash from p) as completed from f",
         "frontier_cancel": f"with {_FRONT} select url_hash, completed from f where completed or not regexp_matches(url, '^https?://m\\.')",
-        "fetch_status": "select url, case when page_id % 4 <> 0 then 200 else 404 end::bigint as status from pages",
+        "fetch_status": "select url, case when contains(url, '#') then 404 else 200 end::bigint as status from pages",
         "robots_allow": f"select page_id, case {_U['netloc']} when 'therha.example.net' then false when 'tionsh.example.net' then not regexp_matches({_U['path']}, '^/de') or regexp_matches({_U['path']}, '^/de/1') else true end as allowed from pages",
     }
