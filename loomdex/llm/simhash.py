@@ -170,7 +170,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of docs whose doc_id is its component's smallest, one each: repeated rows of that id are one. Columns are those of docs."""
     found = near_duplicates(docs, id_col, text_col, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = stored(found, "kept")
-    own = kept.select(F.col("doc_id").alias("_kept_id"))
+    # both sides by a shuffle at every size, never by sending ids to all executors: their number grows with the corpus
+    own = kept.select(F.col("doc_id").alias("_kept_id")).hint("merge")
     out = docs.join(own, docs[f"`{id_col}`"].cast("long").eqNullSafe(own["_kept_id"]), "left_semi")
     if kept.where("n > 1").isEmpty():
         return out
