@@ -36,7 +36,7 @@ def size_of(df: DataFrame, *columns: str) -> tuple[int, int]:
 
 
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
-    """Slices of a batch of about `most` text bytes; a longer text has a slice of its own."""
+    """Slices of a batch of about `most` text bytes; a longer text has a slice of its own. Between slices Arrow's free memory goes back to the system."""
     arr = batch.column(column)
     lengths = np.asarray(pc.fill_null(pc.binary_length(arr), 0))
     at, n = 0, len(lengths)
@@ -44,6 +44,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
     while at < n:
         end = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
         yield batch.slice(at, end - at)
+        pa.default_memory_pool().release_unused()
         at = end
 
 

@@ -158,7 +158,6 @@ class Encoder:
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size)]
         starts = ends[off]
         del lists, chunks, coded, index, which
-        pa.default_memory_pool().release_unused()
         if odd.any():
             parts = [ids[starts[k] : starts[k + 1]] for k in range(len(texts))]
             where = np.flatnonzero(odd)

@@ -16,7 +16,7 @@ from loomdex.llm.common import pick, ship, stored, text_blocks
 FIT_DOCS = 2_000
 MOST_WORDS = 400_000
 #: Distinct tokens that a worker remembers between blocks.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE_TOKENS = r"[ \t\n\r\f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 LONGEST = 5
