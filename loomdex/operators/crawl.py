@@ -38,7 +38,7 @@ def blacklisted(candidates: DataFrame, blacklist: DataFrame, url_col: str = "url
     """candidates that no pattern matches. Patterns are few next to URLs and are sent to all executors if they are under 10,000; more go by a shuffled test of hosts."""
     if blacklist.count() <= 10_000:
         return candidates.join(F.broadcast(blacklist.select("pattern")), F.expr(f"`{url_col}` rlike pattern"), "left_anti")
-    host = F.regexp_replace(F.regexp_extract("pattern", r"^\^([a-z]+://(?:\\.|[^\\.*?/])+)", 1), r"\\", "")
+    host = F.regexp_replace(F.regexp_extract("pattern", r"^\^([a-z]+://(?:\\.|[^\\.*?/$()\[\]{}|+])+)(?=[/$])", 1), r"\\", "")
     keyed = blacklist.select("pattern", host.alias("_site"))
     site = F.regexp_extract(url_col, r"^([a-z]+://[^/?#]+)", 1)
     own = candidates.withColumn("_site", site)
