@@ -194,6 +194,11 @@ class Plan:
         return {n: tuple(np.array(x, np.int64) for x in zip(*runs, strict=True)) for n, runs in self.runs.items() if runs}
 
 
+def best_plan(counts: dict[int, int], size: int = 4096) -> Plan:
+    """The plan with the fewest sequences over some numbers of groups and bounds of large lengths; each takes a moment, whatever the corpus."""
+    return min((Plan(counts, size, groups, large) for large in (1 / 4, 1 / 8) for groups in (24, 48, 96, 200, 400)), key=lambda p: p.next)
+
+
 def place(table: dict, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of pieces."""
     seq, at = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
@@ -207,12 +212,12 @@ def place(table: dict, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray
     return seq, at
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, groups: int = 48, large: float = 1 / 8, **kw) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, **kw) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids with keep_ids=True).
 
-    Large pieces (from size * large on) are put in groups of equal number and count as their group's longest; configurations of those few
+    Large pieces (from a quarter or an eighth of the size on) are put in groups of equal number and count as their group's longest; configurations of those few
     sizes are chosen by subset sums, each time around the longest size that is left, and used as often as the groups allow; actual pieces
-    replace the rounded sizes, and small pieces go best-fit, longest first, into the room that is left. All this takes the number of pieces of each length
+    replace the rounded sizes, and small pieces go best-fit, longest first, into the room that is left. Of a few numbers of groups the one with the fewest sequences is taken. All this takes the number of pieces of each length
     only, at most `size` numbers. Pieces then find their place by their rank among those of their length, in one join on (task, length).
     Repeated rows are packed each; an empty or null text is one piece of the end id; an empty table gives no rows.
     """
@@ -220,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, gro
     found = stored(pieces_of(docs, tokenizer, size, end_id, **kw), "pieces")
     made = stored(found.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    sent = spark.sparkContext.broadcast(Plan(counts, size, groups, large).table())
+    sent = spark.sparkContext.broadcast(best_plan(counts, size).table())
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(made.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
     ranked = found.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))

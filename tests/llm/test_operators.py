@@ -234,6 +234,7 @@ def test_language(spark, odd, empty):
     out = got.where(language.held_out(F.col("doc_id"))).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.min("score"), F.max("score")).first()
     assert out[0] > 0.97 and 0 <= out[1] <= out[2] <= 1
     assert docs.where(language.held_out(F.col("doc_id"))).count() == sum(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs.select("doc_id").collect())
+    assert model.predict(pa.array(["\u00b2 \u00bd 7 _", "e\u0301t\u00e9", None]))[0][0::2] == ["und", "und"]
     told = language.identify(odd, model).collect()
     assert all((r.lang_pred == "und" and r.score == 0) == (not re.search(r"[^\W\d_]", r.text or "")) for r in told)
     assert [r.lang_pred for r in language.identify(odd, language.train(empty)).select("lang_pred").distinct().collect()] == ["und"]
@@ -337,7 +338,7 @@ def test_plan_places_every_piece():
     rng = np.random.default_rng(1)
     for lengths in (np.clip(rng.lognormal(6.2, 1.1, 20_000).astype(int), 1, 4096), rng.integers(1, 4097, 5000), rng.integers(1500, 2500, 999), np.array([4096, 4096, 2048, 2049, 1, 1]), np.array([7])):
         count = Counter(lengths.tolist())
-        plan = packing.Plan(count)
+        plan = packing.best_plan(count)
         lengths = np.sort(lengths)
         rank = np.arange(len(lengths)) - np.searchsorted(lengths, lengths)
         seq, at = packing.place(plan.table(), lengths, rank)
