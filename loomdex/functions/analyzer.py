@@ -20,12 +20,14 @@ CONTRACTIONS |= {f"{w}'s": f"{w} is" for w in "he she it that what who where the
 
 
 def tokens(text: Column, config: Config = DEFAULT) -> Column:
-    """Runs of a-z, 0-9 and ' of the lower-cased text; contractions expanded, then cut at apostrophes."""
+    """Runs of a-z, 0-9 and ' of the lower-cased text; contractions expanded, then cut at apostrophes. Texts without ' take a shorter way."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    short = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9']+)"), F.lit(1))
     if config.contractions:
         table = F.create_map(*[F.lit(x) for kv in CONTRACTIONS.items() for x in kv])
         found = F.transform(found, lambda t: F.when(F.contains(t, F.lit("'")), F.coalesce(F.try_element_at(table, t), t)).otherwise(t))
-    return F.filter(F.split(F.array_join(found, " "), "[ ']"), lambda t: t != "")
+    return F.when(F.contains(text, F.lit("'")), F.filter(F.split(F.array_join(found, " "), "[ ']"), lambda t: t != "")).otherwise(short)
 
 
 def bigrams(words: Column) -> Column:
@@ -63,14 +65,12 @@ def stems(words: Column, config: Config = DEFAULT) -> Column:
 
 
 def drop_stop_words(words: Column, config: Config = DEFAULT) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda t: ~F.array_contains(stop, t) & (F.length(t) >= config.min_length))
+    return F.filter(words, lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) >= config.min_length))
 
 
 def drop_stop_bigrams(pairs: Column) -> Column:
     """Pairs neither of whose tokens is a stop word."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(pairs, lambda p: ~F.array_contains(stop, F.substring_index(p, " ", 1)) & ~F.array_contains(stop, F.substring_index(p, " ", -1)))
+    return F.filter(pairs, lambda p: ~F.substring_index(p, " ", 1).isin(*STOP_WORDS) & ~F.substring_index(p, " ", -1).isin(*STOP_WORDS))
 
 
 def query_words(text: Column) -> Column:
@@ -79,14 +79,12 @@ def query_words(text: Column) -> Column:
 
 def all_stop_words(words: Column) -> Column:
     """Whether every raw word, case-sensitively, is a stop word; true of no words."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.forall(words, lambda w: F.array_contains(stop, w))
+    return F.forall(words, lambda w: w.isin(*STOP_WORDS))
 
 
 def crawl_tokens(text: Column) -> Column:
     """Tokens of the crawl reports: letters, ' and -, two or more, without stop words."""
-    stop = F.array(*map(F.lit, CRAWL_STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-zA-Z'-]{2,})"), F.lit(1)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-zA-Z'-]{2,}"), F.lit(0)), lambda t: ~t.isin(*CRAWL_STOP_WORDS))
 
 
 def split_words(words: Column, n: Column, k: Column) -> Column:

@@ -13,30 +13,33 @@ from loomdex.functions import analyzer, scoring
 from loomdex.runtime import ship, stored
 
 
-def _field(docs: DataFrame, words: str, tags, title: bool, ngram: int, config: Config) -> DataFrame:
+def _field(docs: DataFrame, words: str, tags, title: bool, ngram: int, config: Config, positions: bool) -> DataFrame:
     """(doc_id, title, term, pos, tag) of a field; a bigram has the position and tag of its first word and crosses elements."""
     stems = analyzer.stems(F.col(words), config)
-    d = docs.select("doc_id", stems.alias("s"), analyzer.positions(F.col(words)).alias("p"), tags.alias("g"))
+    d = docs.select("doc_id", stems.alias("s"), (analyzer.positions(F.col(words)) if positions else F.lit(None).cast("array<int>")).alias("p"), tags.alias("g"))
     terms = F.col("s") if ngram == 1 else analyzer.bigrams(F.col("s"))
-    zipped = F.arrays_zip(terms.alias("term"), F.col("p").alias("pos"), F.col("g").alias("tag"))
+    zipped = F.arrays_zip(terms.alias("term"), F.col("p").alias("pos"), F.col("g").alias("tag")) if positions else F.transform(F.arrays_zip(terms.alias("term"), F.col("g").alias("tag")), lambda z: F.struct(z["term"].alias("term"), F.lit(None).cast("int").alias("pos"), z["tag"].alias("tag")))
     return d.select("doc_id", F.lit(title).alias("title"), F.explode(zipped).alias("z")).select("doc_id", "title", F.col("z.term").alias("term"), F.col("z.pos").alias("pos"), F.col("z.tag").alias("tag")).where("term is not null")
 
 
-def occurrences(docs: DataFrame, ngram: int = 1, config: Config = DEFAULT) -> DataFrame:
-    """A row per term occurrence in titles and bodies of docs(doc_id, title_words, toks)."""
+def occurrences(docs: DataFrame, ngram: int = 1, config: Config = DEFAULT, positions: bool = True) -> DataFrame:
+    """A row per term occurrence in titles and bodies of docs(doc_id, title_words, toks); pos is null without positions."""
     if ngram not in (1, 2):
         raise ValueError("ngram is 1 or 2")
     ship(docs.sparkSession)
     flat = docs.select("doc_id", "title_words", F.col("toks.token").alias("words"), F.col("toks.tag").alias("tags"))
     none = F.transform("title_words", lambda _: F.lit(None).cast("string"))
-    return _field(flat, "title_words", none, True, ngram, config).unionByName(_field(flat, "words", F.col("tags"), False, ngram, config))
+    return _field(flat, "title_words", none, True, ngram, config, positions).unionByName(_field(flat, "words", F.col("tags"), False, ngram, config, positions))
 
 
-def postings(occ: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(term, doc_id, positions, wtf): title positions negative and first; wtf sums the occurrences' weights."""
+def postings(occ: DataFrame, config: Config = DEFAULT, positions: bool = True) -> DataFrame:
+    """(term, doc_id, positions, wtf): title positions negative and first; wtf sums the occurrences' weights. Ranking needs no positions."""
+    weight = F.sum(scoring.tag_weight(F.col("tag"), F.col("title"), config)).alias("wtf")
+    if not positions:
+        return occ.groupBy("term", "doc_id").agg(weight).withColumn("wtf", F.round("wtf", 6))
     signed = F.when(F.col("title"), scoring.title_position(F.col("pos"))).otherwise(F.col("pos"))
     row = F.struct((~F.col("title")).alias("body"), F.col("pos").alias("at"), signed.alias("pos"))
-    got = occ.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"), F.sum(scoring.tag_weight(F.col("tag"), F.col("title"), config)).alias("wtf"))
+    got = occ.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list(row)).alias("r"), weight)
     return got.select("term", "doc_id", F.col("r.pos").alias("positions"), F.round("wtf", 6).alias("wtf"))
 
 
@@ -63,10 +66,10 @@ class Index:
     config: Config
 
 
-def build(docs: DataFrame, config: Config = DEFAULT) -> Index:
-    """Index docs(doc_id, title, url, title_words, toks, n_tokens)."""
+def build(docs: DataFrame, config: Config = DEFAULT, positions: bool = True) -> Index:
+    """Index docs(doc_id, title, url, title_words, toks, n_tokens); an index to rank with only can do without positions."""
     n = docs.count()
-    made = [stored(scored(postings(occurrences(docs, k, config), config), max(n, 1)), f"index{k}") for k in (1, 2)]
+    made = [stored(scored(postings(occurrences(docs, k, config, positions), config, positions), max(n, 1)), f"index{k}") for k in (1, 2)]
     return Index(*made, stored(docs.select("doc_id", "title", "url", "n_tokens"), "doc-info"), n, config)
 
 

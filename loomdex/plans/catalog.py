@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from loomdex.config import BAD_EXTENSIONS, DEFAULT, STOP_WORDS
 from loomdex.functions import analyzer, footprint, scoring, urls
 from loomdex.operators import crawl, documents, index, search
-from loomdex.runtime import ship, stored
+from loomdex.runtime import hadoop_path, ship, stored
 from loomdex.sources import robots
 from loomdex.streaming import crawl_state
 
@@ -19,9 +19,17 @@ from loomdex.streaming import crawl_state
 PLAIN = replace(DEFAULT, stem=False)
 
 
+#: Bytes under which a table in few files is dealt to all cores; larger ones have row groups enough to be read in parallel where they lie.
+SMALL_BYTES = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    fs, p = hadoop_path(spark, path)
+    found = fs.getContentSummary(p)
+    return df.repartition(cores) if found.getFileCount() < cores and found.getLength() < SMALL_BYTES else df
 
 
 def _words(spark, sf_dir) -> DataFrame:
@@ -83,13 +91,13 @@ def bigram_positions(spark, sf_dir):
 
 def tfidf(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    got = index.scored(index.postings(index.occurrences(d, 1, PLAIN), PLAIN), d.count())
+    got = index.scored(index.postings(index.occurrences(d, 1, PLAIN, False), PLAIN, False), d.count())
     return got.select("doc_id", "term", F.col("df").cast("long").alias("df"), "score")
 
 
 def champion_list_top10(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    got = index.scored(index.postings(index.occurrences(d, 1, PLAIN), PLAIN).drop("positions"), d.count())
+    got = index.scored(index.postings(index.occurrences(d, 1, PLAIN, False), PLAIN, False), d.count())
     return index.ranked(got, 1, 10).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
@@ -97,10 +105,10 @@ _built: dict[tuple, index.Index] = {}
 
 
 def _index(spark, sf_dir) -> index.Index:
-    """The plain index of a folder, built once a session."""
+    """The plain index of a folder, without positions, built once a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
-        _built[key] = index.build(_docs(spark, sf_dir), PLAIN)
+        _built[key] = index.build(stored(_docs(spark, sf_dir), "docs"), PLAIN, positions=False)
     return _built[key]
 
 
@@ -341,11 +349,12 @@ def stemmed_index(spark, sf_dir):
 
 
 def posting_lines(spark, sf_dir):
-    return index.encode(_index(spark, sf_dir).bigrams, 2)
+    d = stored(_docs(spark, sf_dir), "docs")
+    return index.encode(index.scored(index.postings(index.occurrences(d, 2, PLAIN), PLAIN), d.count()), 2)
 
 
 def search_pages(spark, sf_dir):
-    ix = index.build(documents.build(table(spark, sf_dir, "pages")))
+    ix = index.build(documents.build(table(spark, sf_dir, "pages")), positions=False)
     return search.search(ix, _queries(spark, sf_dir)).select("query_id", "rank", "doc_id", "title", "url", "score")
 
 
