@@ -15,7 +15,7 @@ from loomdex.llm.common import distinct_name, pick, ship, size_of, text_blocks,
 from loomdex.llm.words import ALNUM, Words, words_of
 
 #: Characters of benchmark text that one pass over the documents searches for; beyond it the benchmark is taken in blocks.
-PASS_CHARS = 32 << 20
+PASS_CHARS = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FOUND = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())]))
 

@@ -41,7 +41,7 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
 
     n_lines, n_dropped: names of count columns to add. A null text stays null (0 lines); the empty text has one blank line. The host's few
     boilerplate lines are joined to its pages as an array: sent to all executors if the whole table has at most BROADCAST_ROWS rows, else
-    by a shuffle in which every host is split over SALT keys, so that a host with a third of the pages is no task of its own.
+    by a shuffle in which every host is split over SALT keys by a hash of the row, so that a host with a third of the pages is no task of its own.
     """
     found = stored(boilerplate(docs, host_col, text_col, max_share, min_pages), "boilerplate")
     packed = found.groupBy("host").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
@@ -51,7 +51,9 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
         joined = docs.join(F.broadcast(packed), docs[f"`{host_col}`"] == packed[host], "left")
     else:
         split = packed.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        side = docs.withColumn(salt, F.pmod(F.xxhash64(F.length(F.col(f"`{text_col}`")), F.col(f"`{text_col}`")), F.lit(SALT)).cast("int"))
+        # by the whole row, so that copies of one text are spread too; maps can't be hashed
+        spread = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        side = docs.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALT)).cast("int"))
         joined = side.join(split, (side[f"`{host_col}`"] == split[host]) & (side[salt] == split[salt]), "left").drop(split[salt])
     body = F.col(f"`{text_col}`")
     bad = lambda x: F.array_contains(F.col(keys), F.struct(F.xxhash64(_clean(x)).alias("h1"), F.xxhash64(F.lit(1), _clean(x)).alias("h2")))
