@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 _left: dict[str, SparkSession] = {}
 _lock = threading.Lock()
+#: Bytes of rows in a batch for Python, unless the session sets another number: batches are bounded by size, however long texts are.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package once per application, so that they need no install of it."""
+    """Give executors this package once per application, so that they need no install of it, and bound the session's Arrow batches."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     with _lock:
         if getattr(sc, "_loomdex_shipped", False):
             return
