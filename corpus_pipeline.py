@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import decontaminate, language, line_dedup, packing, simhash
+from loomdex.llm import decontaminate, jaccard, language, line_dedup, packing
 from loomdex.llm.common import scratch_path
 from loomdex.llm.queries import table, tokenizer_file
 
@@ -26,7 +26,7 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
