@@ -35,10 +35,10 @@ def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, which[at]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | None = None, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(base, left, right, expansion lengths, symbols, each document's end in symbols).
 
-    Each round counts every adjacent pair of the shard, takes the most frequent ones that occur `least` times or more, and replaces
+    Rounds go on until no pair occurs `least` times any more or symbols run out, unless `rounds` bounds them. Each round counts every adjacent pair of the shard, takes the most frequent ones that occur `least` times or more, and replaces
     their occurrences from left to right, where chosen pairs overlap the earlier; a pair that keeps fewer than `least`, or shares its slot in the lookup table, waits for the next round. Symbols stay
     under 2 ** 16 if the ids leave room; pairs are then counted as 32-bit numbers.
     """
@@ -51,7 +51,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3,
     last[ends[ends > 0] - 1] = True
     left, right, size = [], [], np.ones(base, np.uint32)
     made = 0
-    for _ in range(rounds):
+    never, alone = np.zeros(0, kind), False  # pairs of one symbol twice that occur too rarely but for their own overlaps; whether a round takes one pair only
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         if len(s) < 2 or made >= room:
             break
         key = (s[:-1] << kind(half)) | s[1:]
@@ -63,9 +65,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3,
         cut = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
         count = np.diff(np.append(cut, len(order)))
         often = np.flatnonzero(count >= least)
+        if len(never):
+            often = often[~np.isin(order[cut[often]], never)]
         if not len(often):
             break
-        n = min(per_round, room - made)
+        if alone:  # one of two different symbols does not overlap itself
+            value = order[cut[often]]
+            often = often[(value >> kind(half)) != (value & kind((1 << half) - 1))]
+        n = 1 if alone else min(per_round, room - made)
         if len(often) > n:
             often = often[np.argpartition(-count[often], n - 1)[:n]]
         chosen = np.sort(order[cut[often]])
@@ -85,8 +92,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int = 3,
         ok = free & ~poor[which]
         at, which = at[ok], which[ok]
         good = np.flatnonzero(~poor)
-        if not len(good):
-            break
+        if not len(good):  # pairs overlapped each other: the most frequent goes alone; twice one symbol can only overlap itself
+            twice = (chosen >> kind(half)) == (chosen & kind((1 << half) - 1))
+            alone = not twice.all()
+            if not alone:
+                found = np.zeros(1 << _SLOTS, np.int32)
+                found[_slot(chosen)] = np.arange(len(chosen), dtype=np.int32)
+                never = np.concatenate([never, chosen[found[_slot(chosen)] == np.arange(len(chosen))]])
+            continue
+        alone = False
         rename = np.zeros(len(chosen), kind)
         rename[good] = base + made + np.arange(len(good), dtype=kind)
         a, b = (chosen[good] >> kind(half)).astype(np.uint32), (chosen[good] & kind((1 << half) - 1)).astype(np.uint32)
