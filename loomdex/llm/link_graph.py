@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,12 +52,12 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.select("src", host_of(link).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 20, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank: trust follows links from seeds(host, good, bad)'s good, distrust goes back along links from bad.
 
     good and bad are seed weights, normalised here; a host's mass is dealt to its links by their numbers, and mass of hosts without links returns to the
-    seeds. Each round is two joins with the stored edges and one pre-aggregated sum, written to the shared folder; it ends after `rounds` or
-    when less than `tolerance` moves. Without links the seeds' weights are the result.
+    seeds. Each round is two joins with the stored edges and one pre-aggregated sum, written to the shared folder; it ends after `rounds` (None: no
+    bound) or when less than `tolerance` moves and no host was reached for the first time. Without links the seeds' weights are the result.
     """
     edges = stored(links.join(links.groupBy("src").agg(F.sum("n").alias("out")), "src").join(links.groupBy("dst").agg(F.sum("n").alias("into")), "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("forth"), (F.col("n") / F.col("into")).alias("back")), "edges")
     hosts = seeds.select("host", "good", "bad").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("good"), F.lit(0.0).alias("bad"))).groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
@@ -66,7 +67,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     now = stored(hosts.select("host", part("good", g).alias("g0"), part("bad", b).alias("b0")).withColumns({"trust": F.col("g0"), "distrust": F.col("b0")}), "rank")
     if edges.isEmpty():
         return now.select("host", "trust", "distrust")
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         side = now.select("host", "trust", "distrust")
         forth = edges.join(side, edges.src == side.host).select(F.col("dst").alias("host"), (F.col("trust") * F.col("forth")).alias("t"), F.lit(0.0).alias("d"))
         back = edges.join(side, edges.dst == side.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("back")).alias("d"))
@@ -75,9 +76,10 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         mass = lambda c, seed, lost: F.lit(1 - damping) * F.col(seed) + F.lit(damping) * (F.coalesce(c, F.lit(0.0)) + F.lit(lost) * F.col(seed))
         new = now.join(came, "host", "left").select("host", "g0", "b0", mass(F.col("t"), "g0", 1 - t if g else 0.0).alias("trust"), mass(F.col("d"), "b0", 1 - d if b else 0.0).alias("distrust"), F.col("trust").alias("trust_was"), F.col("distrust").alias("distrust_was"))
         new = stored(new, "rank")
-        moved = new.agg(F.sum(F.abs(F.col("trust") - F.col("trust_was")) + F.abs(F.col("distrust") - F.col("distrust_was")))).first()[0]
+        first = lambda c: (F.col(f"{c}_was") == 0) & (F.col(c) > 0)
+        moved, reached = new.agg(F.sum(F.abs(F.col("trust") - F.col("trust_was")) + F.abs(F.col("distrust") - F.col("distrust_was"))), F.count_if(first("trust") | first("distrust"))).first()
         now = new.drop("trust_was", "distrust_was")
-        if moved < tolerance:
+        if moved < tolerance and not reached:
             break
     return now.select("host", "trust", "distrust")
 
@@ -93,12 +95,13 @@ def matching(hosts: DataFrame, rules: list[Rule] | tuple[Rule, ...]) -> DataFram
     return names.join(table, "of").groupBy("host").agg(F.collect_set(F.struct(F.length("rule").alias("long"), "rule", "path", "verdict")).alias("rules"))
 
 
-def judge(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.5, floor: float = 1e-9, **kw) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = 0.5, **kw) -> DataFrame:
     """A row per page: page_id, host, path, rule (the longest that fits, of equally long ones the last by name; else null), verdict, trust, distrust.
 
     A rule fits its host and all names below it, if the path starts with the rule's. Hosts most of whose pages a rule blocks are blocked seeds; hosts with
-    more pages allowed than blocked by rules are trusted seeds. A page without a rule gets its host's verdict: block if distrust is over `floor` and
-    at least the share `least` of trust and distrust together, which propagate() spreads over the links between hosts, else allow. A null
+    more pages allowed than blocked by rules are trusted seeds. A page without a rule gets its host's verdict: block if distrust is over zero and
+    at least the share `least` of trust and distrust together, which propagate() spreads over the links between hosts, else allow: scores
+    are spread until they settle, and no absolute bound on them counts, as they shrink with the number of seeds. A null
     url, or one without ://, has host and path empty and is allowed. Repeated rows are judged each. Pages are joined with hosts as stored
     tables, so that AQE can split a host with a third of the pages.
     """
@@ -110,9 +113,9 @@ def judge(pages: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, id_col
     ruled = stored(rows.join(near, "host", "left").select("page_id", "host", "path", best.alias("best")).select("page_id", "host", "path", "best.rule", F.col("best.verdict").alias("said")), "ruled")
     seen = ruled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("said") == "block").alias("bad"), F.count_if(F.col("said") == "allow").alias("good"))
     seeds = seen.where("host <> ''").select("host", F.when(F.col("good") > F.col("bad"), 1.0).otherwise(0.0).alias("good"), F.when(2 * F.col("bad") > F.col("n"), 1.0).otherwise(0.0).alias("bad"))
-    scores = stored(propagate(host_links(pages, url_col, html_col), stored(seeds, "seeds"), **kw), "scores")
+    scores = stored(propagate(host_links(pages, url_col, html_col), stored(seeds, "seeds"), **{"rounds": None, **kw}), "scores")
     score = ruled.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
-    own = F.when((F.col("distrust") > floor) & (F.col("distrust") >= least * (F.col("trust") + F.col("distrust"))), F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when((F.col("distrust") > 0) & (F.col("distrust") >= least * (F.col("trust") + F.col("distrust"))), F.lit("block")).otherwise(F.lit("allow"))
     return score.select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "trust", "distrust")
 
 
