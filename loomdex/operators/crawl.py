@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -147,18 +149,18 @@ def expand(stats: DataFrame, blacklist: DataFrame, ruled: DataFrame | None = Non
     return good if ruled is None else robots_source.can_fetch(good, ruled).where("allowed").drop("allowed")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, rounds: int, batch: int, lifo: bool = True, robots: DataFrame | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(frontier, page stats, blacklist) after so many rounds over a page store.
+def crawl(pages: DataFrame, seeds: DataFrame, rounds: int | None, batch: int | None, lifo: bool = True, robots: DataFrame | None = None, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frontier, page stats, blacklist) after so many rounds over a page store, or (None) when no URL is open.
 
-    A round pops a batch, fetches, checks, and pushes what is new; each of its tables is written to the shared folder, so a lost executor
+    A round pops a batch (None: all open URLs), fetches, checks, and pushes what is new; each of its tables is written to the shared folder, so a lost executor
     repeats no earlier round. The rate of a live crawl is batch over the time between rounds.
     """
     spark = pages.sparkSession
     ruled = None if robots is None else stored(robots_source.rules(robots), "robots")
     frontier = stored(new_urls(spark.createDataFrame([], "url_hash string"), seeds), "frontier")
     blacklist, seen = spark.createDataFrame([], BLACKLIST), None
-    for k in range(1, rounds + 1):
-        now = stored(pop(frontier, batch, lifo), "batch")
+    for k in count(1) if rounds is None else range(1, rounds + 1):
+        now = stored(frontier.where("not completed") if batch is None else pop(frontier, batch, lifo), "batch")
         if now.isEmpty():
             break
         got = stored(fetch(now.select("url"), pages), "fetched")

@@ -340,7 +340,7 @@ def query_trap_states(spark, sf_dir):
 
 def crawl_frontier(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return crawl.crawl(p, p.select("url"), 2, 20)[0].select("url_hash", "url", "completed")
+    return crawl.crawl(p, p.select("url"), None, None)[0].select("url_hash", "url", "completed")
 
 
 def stemmed_index(spark, sf_dir):
