@@ -171,6 +171,14 @@ def near_dup_pairs(spark, sf_dir):
     return footprint.near_pairs(m.groupBy("fp_hi", "fp_lo", "n_tokens").agg(F.min("doc_id").alias("doc_id")))
 
 
+def near_dup_classes(spark, sf_dir):
+    """A row per document: class_id is the document that stands for it in near_dup_pairs, the first of its footprint and length."""
+    m = stored(_marked(spark, sf_dir), "marked")
+    key = ["fp_hi", "fp_lo", "n_tokens"]
+    first = stored(m.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
+    return m.join(first, key).select("doc_id", "class_id")
+
+
 def lowest_first_dedup(spark, sf_dir):
     m = stored(_marked(spark, sf_dir), "marked")
     return documents.kept_ids(m.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"), "n_tokens", "fp_hi", "fp_lo")).select(F.col("page_id").alias("doc_id"))
@@ -365,7 +373,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = [
         token_stats, term_freq, doc_freq, vocabulary, doc_length, token_positions, bigram_freq, bigram_positions, tfidf, champion_list_top10, and_query, cutoff_ladder, cosine_rank,
-        phrase_bonus, relaxed_search, stopword_only_flags, split_query, simhash, near_dup_pairs, lowest_first_dedup, dedup_first_url, url_defrag, url_canonical, url_hash, url_validity,
+        phrase_bonus, relaxed_search, stopword_only_flags, split_query, simhash, near_dup_pairs, near_dup_classes, lowest_first_dedup, dedup_first_url, url_defrag, url_canonical, url_hash, url_validity,
         bad_extension_filter, path_repeat_trap, trap_patterns, blacklist_antijoin, host_counts, page_titles, outlinks, outlink_count, low_value_pages, html_elements, element_offsets,
         tag_extents, cleaned_text, extraction_errors, crawl_token_counts, top50_tokens, longest_pages, frontier_new_urls, frontier_totals, frontier_pop, frontier_complete, frontier_cancel, fetch_status, robots_allow,
         referrer_similarity, previous_similarity, query_trap_states, crawl_frontier, stemmed_index, posting_lines, search_pages,
