@@ -44,3 +44,10 @@ def test_no_pair_is_left(spark):
     stage = dict(corpus_pipeline.STAGES)["simhash"]
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == want
     assert want < {r.doc_id for r in simhash.keep_one(docs).collect()}
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    rows = [(None, "one text of its own"), (None, "another text that is unlike"), (None, "another text that is unlike"), (None, "a third one, unlike both"), (7, "seven words stand in this one text"), (7, "nothing in common with it at all here"), (8, "Seven words stand in this one text")]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted({*rows[:2], *rows[3:6]}, key=str)
