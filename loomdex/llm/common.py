@@ -8,9 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.runtime import hadoop_path, scratch_path, ship, stored
+from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored
 
-__all__ = ["distinct_name", "hadoop_path", "pick", "scratch_path", "ship", "size_of", "stored", "text_blocks", "utf8"]
+__all__ = ["discard", "distinct_name", "hadoop_path", "keep_rows", "pick", "scratch_path", "ship", "size_of", "stored", "text_blocks", "utf8"]
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
 BLOCK_BYTES = 4 << 20
@@ -28,6 +28,20 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def keep_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs per root of placed(doc_id, mark, root), mark being xxhash64 of the text: the first by (no id, doc_id, mark). Columns are those of docs.
+
+    Rows that agree in id and text are one; no other row is dropped for its id. Both sides go by a shuffle at every size, never as a broadcast of
+    ids, whose number grows with the corpus.
+    """
+    kept = stored(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark"), "kept")
+    a, b = distinct_name(docs, "_kept_id"), distinct_name(docs, "_kept_mark")
+    own = kept.select(F.col("doc_id").alias(a), F.col("mark").alias(b)).hint("merge")
+    out = docs.join(own, docs[f"`{id_col}`"].cast("long").eqNullSafe(own[a]) & (F.xxhash64(docs[f"`{text_col}`"]) == own[b]), "left_semi")
+    copies = placed.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if copies.isEmpty() else out.dropDuplicates([id_col, text_col])
+
+
 def size_of(df: DataFrame, *columns: str) -> tuple[int, int]:
     """(rows, characters in the string columns) of a table: what a broadcast is checked against."""
     n = [F.sum(F.length(c)) for c in columns] or [F.lit(0)]

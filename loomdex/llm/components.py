@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import stored
+from loomdex.llm.common import discard, stored
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Each round hashes nodes anew, merges every node into its neighbour of smallest hash if that is smaller than its own, and
     relabels the links; a constant share of the nodes goes per round, so rounds grow with the logarithm of the largest
-    component, whatever its shape. Every round is written to the shared folder. Neighbours meet only in a minimum, which is
+    component, whatever its shape. Every round is written to the shared folder, and deleted when the next one stands. Neighbours meet only in a minimum, which is
     pre-aggregated, and relabelling joins stored tables, which AQE can split, so hubs are harmless. Rows with a null end and
     self links are ignored. The root is some node of the component.
     """
@@ -29,11 +29,13 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         via = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: E731, B023
         half = now.join(via("a"), "a").select("b", "a_up")
         half = half.join(via("b"), "b").select("a_up", "b_up").where("a_up <> b_up")
-        now = stored(half.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "links")
+        before, now = now, stored(half.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "links")
+        discard(before)
     if not merged:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    roots = merged[-1].withColumnRenamed("up", "root")
+    roots, last = merged[-1].withColumnRenamed("up", "root"), merged[-1]
     for up in reversed(merged[:-1]):
         later = roots.withColumnRenamed("node", "up").withColumnRenamed("root", "later")
-        roots = stored(up.join(later, "up", "left").select("node", F.coalesce("later", "up").alias("root")), "roots")
+        before, roots = roots, stored(up.join(later, "up", "left").select("node", F.coalesce("later", "up").alias("root")), "roots")
+        discard(before, last, up)
     return roots

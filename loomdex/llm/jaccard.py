@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import pick, ship, stored, text_blocks, utf8
+from loomdex.llm.common import keep_rows, pick, ship, stored, text_blocks, utf8
 from loomdex.llm.components import components
 from loomdex.llm.simhash import fold, links, shingle_hashes
 from loomdex.llm.words import SPACED, words_of
@@ -207,10 +207,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             found = found.unionByName(stored(_verified(more, marks, rows, least), "found"))
             root = stored(components(found), "roots")
     placed = marks.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = stored(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("r")).select("r.doc_id", "r.mark"), "kept")
-    # both sides by a shuffle at every size, never by sending ids to all executors: their number grows with the corpus
-    own = kept.select(F.col("doc_id").alias("_kept_id"), F.col("mark").alias("_kept_mark")).hint("merge")
-    on = docs[f"`{id_col}`"].cast("long").eqNullSafe(own["_kept_id"]) & (F.xxhash64(docs[f"`{text_col}`"]) == own["_kept_mark"])
-    out = docs.join(own, on, "left_semi")
-    copies = marks.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if copies.isEmpty() else out.dropDuplicates([id_col, text_col])
+    return keep_rows(docs, placed, id_col, text_col)

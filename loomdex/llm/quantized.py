@@ -4,24 +4,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import pick, ship, stored
 from loomdex.llm.components import components
 
-#: Vectors that the quantisers are fitted on at most (about; a hash of the id chooses them), and inverted lists at most.
+#: Vectors that a dimension's quantisers are fitted on at most (about; a hash of the row's number chooses them), and centroids of a level at most.
 FIT_VECTORS = 16_384
-MOST_LISTS = 4_096
+CENTROIDS = 4_096
+#: Vectors that a list should hold: where first-level centroids are too few for that, second-level ones split their cells.
+LIST_VECTORS = 1_024
 #: Vectors of a list, and queries, that one task compares at a time.
 TILE = 2_048
+#: Vectors of a dimension up to which they are one list, without a fitted quantiser.
+FEW = 64
+#: Rows of a table of lists or tiles up to which it is sent to every executor.
+BROADCAST_ROWS = 100_000
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is divided by its largest component first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * x @ c.T, 0)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -33,37 +44,57 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
+def _cells(x: np.ndarray, c: np.ndarray, reach: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's cells, nearest first, and the gap to each): its own and those whose Voronoi border lies within reach, `most` of them; others have gap inf."""
+    d = _squared(x, c)
+    own = d.argmin(1)
+    row = np.arange(len(x))
+    gap = (d - d[row, own][:, None]) / (2 * np.sqrt(np.maximum(_squared(c[own], c), 1e-12)))
+    gap[row, own] = -1
+    p = min(most, len(c))
+    near = np.argpartition(gap, p - 1, axis=1)[:, :p]
+    g = np.take_along_axis(gap, near, 1)
+    order = np.argsort(g, axis=1, kind="stable")
+    near, g = np.take_along_axis(near, order, 1), np.take_along_axis(g, order, 1)
+    return near, np.where(g <= reach, g, np.inf)
+
+
 class Quantiser:
-    """Coarse centroids, and one codebook of residuals for each subspace."""
+    """Centroids on two levels, the second of what the first leaves, and one codebook of residuals for each subspace.
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int = 8, codes: int = 64, probes: int = 16):
+    A list is a pair of centroids, so lists can be as many as the square of CENTROIDS while the model stays bounded.
+    """
+
+    def __init__(self, sample: np.ndarray, lists: int, inner: int = 1, subspaces: int = 8, codes: int = 64, probes: int = 16):
         rng = np.random.default_rng(7)
-        x = _unit(sample)
-        self.probes = probes
+        x, self.probes = unit(sample), probes
         self.coarse = _kmeans(x, lists, 8, rng)
-        rest = x - self.coarse[self._distances(x).argmin(1)]
+        x = x - self.coarse[_squared(x, self.coarse).argmin(1)]
+        self.fine = _kmeans(x, inner, 8, rng) if inner > 1 else np.zeros((1, x.shape[1]))
+        x = x - self.fine[_squared(x, self.fine).argmin(1)]
         self.cuts = np.array_split(np.arange(x.shape[1]), min(subspaces, x.shape[1]))
-        self.books = [_kmeans(rest[:, c], codes, 8, rng) for c in self.cuts]
-
-    def _distances(self, x: np.ndarray) -> np.ndarray:
-        return (x * x).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-
-    def lists_of(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(own list, lists to probe, own first): those whose Voronoi cell comes within reach of x, the nearest `probes` of them."""
-        d = self._distances(x)
-        own = d.argmin(1)
-        apart = np.sqrt(np.maximum(((self.coarse[own][:, None] - self.coarse[None]) ** 2).sum(-1), 1e-12)) if len(self.coarse) * len(x) < 20_000 else np.sqrt(np.maximum((self.coarse[own] ** 2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * self.coarse[own] @ self.coarse.T, 1e-12))
-        gap = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
-        gap[np.arange(len(x)), own] = -1
-        p = min(self.probes, gap.shape[1])
-        near = np.argpartition(gap, p - 1, axis=1)[:, :p]
-        g = np.take_along_axis(gap, near, 1)
-        order = np.argsort(g, axis=1)
-        near, g = np.take_along_axis(near, order, 1), np.take_along_axis(g, order, 1)
-        return own, [n[k <= reach] for n, k in zip(near, g, strict=True)]
+        self.books = [_kmeans(x[:, c], codes, 8, rng) for c in self.cuts]
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def lists_of(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, lists to probe): the probes are the nearest lists, by the larger gap of the two levels, within reach; -1 where there are no more."""
+        first, gap = _cells(x, self.coarse, reach, self.probes)
+        n = len(self.fine)
+        if n == 1:
+            return first[:, 0], np.where(np.isfinite(gap), first, -1)
+        lists, gaps = [], []
+        for k in range(first.shape[1]):
+            second, g = _cells(x - self.coarse[first[:, k]], self.fine, reach, self.probes)
+            lists.append(first[:, [k]] * n + second)
+            gaps.append(np.maximum(g, gap[:, [k]]))
+        lists, gaps = np.concatenate(lists, 1), np.concatenate(gaps, 1)
+        order = np.argsort(gaps, axis=1, kind="stable")[:, : self.probes]
+        return lists[:, 0], np.where(np.isfinite(np.take_along_axis(gaps, order, 1)), np.take_along_axis(lists, order, 1), -1)
 
     def encode(self, rest: np.ndarray) -> np.ndarray:
-        return np.stack([np.argmin((b * b).sum(1) - 2 * rest[:, c] @ b.T, axis=1) for c, b in zip(self.cuts, self.books, strict=True)], axis=1)
+        return np.stack([np.argmin((b * b).sum(1) - 2 * rest[:, c] @ b.T, axis=1) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         out = np.empty((len(codes), sum(map(len, self.cuts))))
@@ -75,22 +106,36 @@ class Quantiser:
         """Squared distances of residual queries to coded residuals, by one table lookup a subspace."""
         out = np.zeros((len(queries), len(codes)))
         for k, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            q = queries[:, c]
-            table = (q * q).sum(1)[:, None] + (b * b).sum(1) - 2 * q @ b.T
-            out += table[:, codes[:, k]]
+            out += _squared(queries[:, c], b)[:, codes[:, k]]
         return out
 
 
-def tile_links(z: Quantiser, cell: int, q: np.ndarray, m: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) pairs at cosine >= least of one list: table distances pass what the code's error allows, cosines decide."""
-    rest = m - z.coarse[cell]
-    codes = z.encode(rest)
-    error = np.linalg.norm(rest - z.decode(codes), axis=1)
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) + error + 1e-6
-    near = z.asymmetric(q - z.coarse[cell], codes) <= reach * reach
-    i, j = np.nonzero(near)
-    good = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 200_000]], m[j[k : k + 200_000]]) >= least for k in range(0, len(i), 200_000)]) if len(i) else np.zeros(0, bool)
-    return i[good], j[good]
+class OneList:
+    """A dimension of few vectors: one list, whose codes say nothing."""
+
+    fine = np.zeros((1, 1))
+
+    def lists_of(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(len(x), np.int64), np.zeros((len(x), 1), np.int64)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return np.zeros((len(lists), 1))
+
+    def encode(self, rest: np.ndarray) -> np.ndarray:
+        return np.zeros((len(rest), 1), np.uint8)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.zeros((len(codes), 1))
+
+    def asymmetric(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return np.zeros((len(queries), len(codes)))
+
+
+def rough(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(8-bit components, each row's step, each row's error): what a query sends to its probes."""
+    step = np.abs(x).max(1) / 127
+    q = np.rint(x / np.maximum(step, 1e-300)[:, None]).astype(np.int8)
+    return q, step, np.linalg.norm(x - q * step[:, None], axis=1)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,91 +156,148 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[root[own]]
 
 
-def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, probes: int = 16, fit: int = FIT_VECTORS) -> DataFrame:
+def _sent(table: DataFrame) -> DataFrame:
+    """The table for a join: to every executor if it is small, else by a shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
+def fit(nodes: DataFrame, probes: int, most: int) -> dict:
+    """A quantiser for each dimension, on about `most` of its vectors at most. One row per dimension comes to the driver."""
+    count = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = {d: n for d, n in count.items() if n > FEW}
+    out: dict = {d: OneList() for d in count if d not in large}
+    for dim, n in large.items():
+        share = min(1 << 20, -(-(most << 20) // n))
+        some = nodes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 20)) < F.lit(share))).select("v").limit(2 * most)
+        x = np.asarray(some.toArrow().column("v").combine_chunks().flatten()).astype(float).reshape(-1, dim)
+        if not len(x):
+            out[dim] = OneList()
+            continue
+        lists = int(min(CENTROIDS, max(1, len(x) // 8), max(1, round(n**0.5))))
+        inner = int(min(CENTROIDS, max(1, len(x) // 8), n // (lists * LIST_VECTORS)))
+        out[dim] = Quantiser(x, lists, inner, probes=probes)
+    return out
+
+
+def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, probes: int = 16, most: int = FIT_VECTORS) -> DataFrame:
     """Per row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable, itself included), kept.
 
-    Two vectors link if their cosine, in double precision, is `least` or more and one's inverted list is among the other's probes. Vectors
-    that are null, empty, zero, or hold null or non-finite components link with nothing, and so do vectors of another dimension than the
-    most common one (ties: the smaller) among the fitted sample. Equal vectors are one node with a weight; each
-    of them counts the others as links. A null vec_id links like any other but is never a component_id unless its component has no other.
+    Two vectors of one dimension link if their cosine, in double precision, is `least` or more and the list of one that has the smaller number is
+    among the other's probes. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Equal vectors are
+    one node with a weight; each of them counts the others as links. A null vec_id links like any other but is never a component_id unless its
+    component has no other; repeated vec_ids are rows of their own.
 
-    The quantisers are fitted on about `fit` vectors at most, chosen by a hash of the id; every vector is indexed. Lists with many
-    members are split into tiles by hash. Tiles report counts and a forest of their links, never pairs.
+    Every vector is indexed: its list and its residual's code are stored. Members go to their list as codes, queries to the lists they probe
+    as 8-bit components; table-lookup distances rule out what the known errors of both allow to rule out. Only vectors of members and queries
+    with a survivor are sent on, and exact cosines decide. Lists and queries of many vectors are split into tiles by hash. Tiles report
+    counts and a forest of their links, never pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = pick(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+    rows = pick(vectors, vec_id=id_col, v=vector_col).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast(f"array<{kind}>").alias("v"))
     fine = F.col("v").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = stored(rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0)))), "vectors")
+    rows = stored(rows.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0).cast(kind)))), "vectors")
     good = rows.where("v is not null")
-    nodes = stored(good.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.xxhash64("v")), "vector-nodes")
-    total = nodes.count()
+    # numbers given once, as the table is written: no two nodes can share one
+    nodes = stored(good.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight")).withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "vector-nodes")
     none = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not total:
+    models = fit(nodes, probes, most)
+    if not models:
         return none
-    sample = nodes.where(F.pmod(F.xxhash64(F.lit(11), "node"), F.lit(1 << 20)) < F.lit(min(1 << 20, -(-(fit << 20) // total)))).select("v").limit(2 * fit).toArrow().column("v").combine_chunks()
-    size = np.asarray(pc.list_value_length(sample))
-    dim = int(np.bincount(size).argmax())
-    x = np.asarray(sample.filter(pa.array(size == dim)).flatten()).reshape(-1, dim)
-    z = Quantiser(x, int(min(MOST_LISTS, max(1, len(x) // 8), max(1, round(total**0.5)))), probes=probes)
-    sent = spark.sparkContext.broadcast(z)
+    sent = spark.sparkContext.broadcast(models)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
 
     def assign(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                v = part.column("v")
-                part = part.filter(pc.equal(pc.list_value_length(v), dim))
-                if not part.num_rows:
-                    continue
-                x = _unit(np.asarray(part.column("v").flatten()).reshape(-1, dim))
-                own, probe = sent.value.lists_of(x, reach)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("weight"), pa.array(own.astype(np.int32)), pa.array([p.astype(np.int32) for p in probe], pa.list_(pa.int32())), pa.array(list(x), pa.list_(pa.float64()))], names=["node", "weight", "own", "probe", "x"])
-
-    index = stored(nodes.select("node", "weight", "v").mapInArrow(assign, "node long, weight long, own int, probe array<int>, x array<double>"), "vector-index")
-    # a row per inverted list: MOST_LISTS at most
-    members = {r.own: r.n for r in index.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
-    asked = {r.cell: r.n for r in index.select(F.explode("probe").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tiles = spark.createDataFrame([(c, -(-members[c] // TILE), -(-asked.get(c, 1) // TILE)) for c in members], "cell int, m int, q int")
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    as_member = index.join(F.broadcast(tiles), index.own == tiles.cell).select("cell", slot("m").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), F.lit(True).alias("member"), "node", "weight", "own", "probe", "x")
-    as_query = index.withColumn("to", F.explode("probe")).join(F.broadcast(tiles), F.col("to") == tiles.cell).select("cell", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), slot("q").alias("qb"), F.lit(False).alias("member"), "node", "weight", "own", F.array().cast("array<int>").alias("probe"), "x")
-
-    def compare(table: pa.Table) -> pa.Table:
-        cell = table.column("cell")[0].as_py()
-        is_m = np.asarray(table.column("member"))
-        node, weight, own = (np.asarray(table.column(c)) for c in ("node", "weight", "own"))
-        x = np.asarray(table.column("x").combine_chunks().flatten()).reshape(-1, dim)
+            dims = np.asarray(batch.column("dim"))
+            for dim in np.unique(dims):
+                same = batch.filter(pa.array(dims == dim))
+                for k in range(0, same.num_rows, 4096):
+                    part = same.slice(k, 4096)
+                    x = unit(np.asarray(part.column("v").flatten()).astype(float).reshape(-1, dim))
+                    z = sent.value[int(dim)]
+                    own, probe = z.lists_of(x, reach)
+                    rest = x - z.centre(own)
+                    codes = z.encode(rest)
+                    error = np.linalg.norm(rest - z.decode(codes), axis=1)
+                    q, step, missed = rough(x)
+                    # a pair is looked for once: in the list of the smaller number
+                    ask = [p[(p >= 0) & (p <= o)] for p, o in zip(probe, own.tolist(), strict=True)]
+                    cols = [part.column("node"), part.column("weight"), part.column("dim"), pa.array(own), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([x.tobytes() for x in q], pa.binary()), pa.array(step), pa.array(missed), pa.array(ask, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["node", "weight", "dim", "own", "code", "error", "q", "step", "missed", "ask"])
+
+    index = stored(nodes.select("node", "weight", "dim", "v").mapInArrow(assign, "node long, weight long, dim int, own long, code binary, error double, q binary, step double, missed double, ask array<long>"), "vector-index")
+    members = index.groupBy("dim", F.col("own").alias("cell")).agg(F.count(F.lit(1)).alias("members"))
+    asked = index.select("dim", F.explode("ask").alias("cell")).groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("queries"))
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("int").alias(n)
+    large = stored(members.join(asked, ["dim", "cell"]).where(F.greatest("members", "queries") > TILE).select("dim", "cell", tiles("members"), tiles("queries")), "vector-tiles")
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    at = ["dim", "cell", "mb", "qb"]
+
+    def dealt(rows: DataFrame, member: bool, *columns) -> DataFrame:
+        """rows(dim, cell, node, ...) to the tiles they belong to: a member to all blocks of queries, a query to all blocks of members."""
+        own, other = ("members", "queries") if member else ("queries", "members")
+        here = rows.join(_sent(large), ["dim", "cell"], "left").withColumn("own", slot(own)).select("dim", "cell", "own", every(other).alias("other"), "node", *columns)
+        mb, qb = ("own", "other") if member else ("other", "own")
+        return here.select("dim", "cell", F.col(mb).alias("mb"), F.col(qb).alias("qb"), F.lit(member).alias("member"), "node", *columns)
+
+    def look_up(table: pa.Table) -> pa.Table:
+        """Members and queries with a survivor."""
+        dim, cell = table.column("dim")[0].as_py(), table.column("cell")[0].as_py()
+        z, is_m = sent.value[dim], np.asarray(table.column("member"))
         mi, qi = np.flatnonzero(is_m), np.flatnonzero(~is_m)
-        kinds, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        data, node = table.column("data").combine_chunks(), np.asarray(table.column("node"))
+        scale, error = np.asarray(table.column("scale")), np.asarray(table.column("error"))
+        hit = np.zeros(len(node), bool)
         if len(mi) and len(qi):
-            probe = table.column("probe").combine_chunks()
-            off, flat = np.asarray(probe.offsets), np.asarray(probe.values)
+            bytes_of = lambda i, kind: np.frombuffer(b"".join(data.take(pa.array(i)).to_pylist()), kind).reshape(len(i), -1)
+            codes, centre = bytes_of(mi, np.uint8), z.centre(np.array([cell]))
             for k in range(0, len(qi), 512):
                 some = qi[k : k + 512]
-                i, j = tile_links(sent.value, cell, x[some], x[mi], least)
-                i, j = some[i], mi[j]
-                apart = node[i] != node[j]
-                i, j = i[apart], j[apart]
-                if not len(i):
-                    continue
-                # the member's own probes report the link to it; where they don't include the query's list, this tile does
-                pairs = np.unique(np.stack([j, own[i]]), axis=1)
-                back = {(p, q): not (flat[off[p] : off[p + 1]] == q).any() for p, q in pairs.T.tolist()}
-                lone = np.fromiter((back[p, q] for p, q in zip(j.tolist(), own[i].tolist(), strict=True)), bool, len(i))
-                n = np.bincount(i, weights=weight[j], minlength=len(node)) + np.bincount(j[lone], weights=weight[i[lone]], minlength=len(node))
-                got = np.flatnonzero(n)
-                la, lb = _forest(node[i], node[j])
-                kinds += [np.ones(len(got), np.int64), np.zeros(len(la), np.int64)]
-                a += [node[got], la]
-                b += [n[got].astype(np.int64), lb]
-        return pa.table({"counts": pa.array(np.concatenate(kinds) == 1), "a": np.concatenate(a), "b": np.concatenate(b)})
-
-    found = stored(as_member.unionByName(as_query).groupBy("cell", "mb", "qb").applyInArrow(compare, "counts boolean, a long, b long"), "vector-links")
+                far = reach + error[some][:, None] + error[mi] + 1e-6
+                near = z.asymmetric(bytes_of(some, np.int8) * scale[some][:, None] - centre, codes) <= far * far
+                near &= node[some][:, None] != node[mi]
+                hit[some] |= near.any(1)
+                hit[mi] |= near.any(0)
+        keep = np.flatnonzero(hit)
+        return pa.table({"dim": np.full(len(keep), dim, np.int32), "cell": np.full(len(keep), cell, np.int64), "mb": np.asarray(table.column("mb"))[keep], "qb": np.asarray(table.column("qb"))[keep], "member": is_m[keep], "node": node[keep]})
+
+    coded = index.select("dim", F.col("own").alias("cell"), "node", F.col("code").alias("data"), F.lit(0.0).alias("scale"), "error")
+    asks = index.select("dim", F.explode("ask").alias("cell"), "node", F.col("q").alias("data"), F.col("step").alias("scale"), F.col("missed").alias("error"))
+    both = dealt(coded, True, "data", "scale", "error").unionByName(dealt(asks, False, "data", "scale", "error"))
+    left = stored(both.groupBy(*at).applyInArrow(look_up, "dim int, cell long, mb int, qb int, member boolean, node long"), "vector-survivors")
+
+    def rerank(table: pa.Table) -> pa.Table:
+        """Counts of links by node, and a forest of the links."""
+        dim, cell = table.column("dim")[0].as_py(), table.column("cell")[0].as_py()
+        is_m = np.asarray(table.column("member"))
+        node, weight, own = (np.asarray(table.column(c)) for c in ("node", "weight", "own"))
+        x = unit(np.asarray(table.column("v").combine_chunks().flatten()).astype(float).reshape(-1, dim))
+        mi, qi = np.flatnonzero(is_m), np.flatnonzero(~is_m)
+        n = np.zeros(len(node), np.int64)
+        la, lb = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(qi) if len(mi) else 0, 512):
+            some = qi[k : k + 512]
+            # in its own list a query is a member too: of both directions only one counts
+            fit = (x[some] @ x[mi].T >= least) & ((own[some][:, None] != cell) | (node[some][:, None] > node[mi]))
+            i, j = np.nonzero(fit)
+            i, j = some[i], mi[j]
+            n += np.bincount(i, weights=weight[j], minlength=len(node)).astype(np.int64) + np.bincount(j, weights=weight[i], minlength=len(node)).astype(np.int64)
+            a, b = _forest(node[i], node[j])
+            la.append(a)
+            lb.append(b)
+        got = np.flatnonzero(n)
+        a, b = np.concatenate(la), np.concatenate(lb)
+        return pa.table({"counts": np.repeat([True, False], [len(got), len(a)]), "a": np.concatenate([node[got], a]), "b": np.concatenate([n[got], b])})
+
+    full = index.select("node", "weight", "own").join(nodes.select("node", "v"), "node")
+    found = stored(left.join(full, "node").groupBy(*at).applyInArrow(rerank, "counts boolean, a long, b long"), "vector-links")
     root = components(found.where("not counts"))
     n_links = found.where("counts").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
-    named = stored(nodes.join(root, "node", "left").join(n_links, "node", "left").select("v", "node", "least_id", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n")), "vector-named")
+    named = stored(nodes.join(root, "node", "left").join(n_links, "node", "left").select("v", "least_id", "weight", F.coalesce("root", "node").alias("root"), F.coalesce("n", F.lit(0)).alias("n")), "vector-named")
     low = stored(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "vector-roots")
     named = stored(named.join(low, "root").select("v", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id"), "vector-results")
     out = good.join(named, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import pick, ship, stored, text_blocks, utf8
+from loomdex.llm.common import keep_rows, pick, ship, stored, text_blocks, utf8
 from loomdex.llm.components import components
 from loomdex.llm.words import SPACED, Words, words_of
 
@@ -51,36 +51,30 @@ def fold(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp long) per row: SimHash over word shingles, words being runs of anything but space and \\x09-\\x0D, A-Z lower-cased."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, marks: bool = False) -> DataFrame:
+    """(doc_id, fp long) per row: SimHash over word shingles, words being runs of anything but space and \\x09-\\x0D, A-Z lower-cased. marks: and mark long, a hash of the text."""
     ship(docs.sparkSession)
+    more = ["mark"] * marks
 
     def each(batches):
         for batch in batches:
             for part in text_blocks(batch, "text"):
                 fp = fold(*shingle_hashes(words_of(*utf8(part.column("text")), SPACED), width))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *[part.column(c) for c in more]], names=["doc_id", "fp", *more])
 
-    return pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(each, "doc_id long, fp long")
+    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.xxhash64("text").alias(c) for c in more])
+    return rows.mapInArrow(each, "doc_id long, fp long" + ", mark long" * marks)
 
 
-def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many positional bytes two fingerprints share."""
-    x = (a ^ b).astype("<u8")
-    return _BYTES - np.count_nonzero(x.reshape(-1, 1).view(np.uint8).reshape(*x.shape, _BYTES), axis=-1)
+def list_links(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that joins the fingerprints of one list of the minimum's positions as all of its pairs of `most` differing bits or fewer do.
 
-
-def list_links(v: np.ndarray, most: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the fingerprints of one posting list as all of its pairs of `shared` bytes or more and `most` differing bits or fewer do.
-
-    Short lists are tallied pair by pair. In a long one the bytes of the list's key agree, so the others hold at most
-    256 ** (8 - shared) values and each fingerprint looks up its neighbours within `most` bits in a table of them.
+    Short lists are compared pair by pair. In a long one the bytes of the list's key agree, so the others hold few values and each fingerprint
+    looks up its neighbours within `most` bits in a table of them.
     """
     n = len(v)
     if n <= 256:
-        count = _tally(v[:, None], v[None, :])
-        ok = (count >= shared) & (np.bitwise_count(v[:, None] ^ v[None, :]) <= most)
-        i, j = np.nonzero(np.triu(ok, 1))
+        i, j = np.nonzero(np.triu(np.bitwise_count(v[:, None] ^ v[None, :]) <= most, 1))
     else:
         v = np.sort(v)
         free = np.bitwise_or.reduce(v ^ v[0])
@@ -109,42 +103,104 @@ def list_links(v: np.ndarray, most: int, shared: int) -> tuple[np.ndarray, np.nd
     return v[own], v[root[own]]
 
 
+#: Members up to which a posting list gives all its pairs to the tally: a fingerprint is in few pairs a list, whatever the corpus.
+SHORT = 16
+
+
+def _masked(distinct: DataFrame, positions: int) -> DataFrame:
+    """(k, bytes, fp): each fingerprint under every choice k of so many byte positions, by its values there."""
+    masks = [sum(0xFF << 8 * p for p in some) for some in combinations(range(_BYTES), positions)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("k", "mask")).select(F.col("k").cast("byte").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"), "fp")
+
+
+def _short_pairs(n: np.ndarray, begin: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the groups of n members that begin at `begin`."""
+    a, b = [np.zeros(0, fp.dtype)], [np.zeros(0, fp.dtype)]
+    for size in np.unique(n):
+        i, j = np.triu_indices(int(size), 1)
+        at = begin[n == size][:, None]
+        a.append(fp[at + i].ravel())
+        b.append(fp[at + j].ravel())
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _meetings(batches):
+    """From rows (k, bytes, fp) in the order of (k, bytes): the pairs of short lists as (a, b), the members of long ones as (fp, null).
+
+    Lists are read as a stream: what is held of one is SHORT members at most, whatever its length.
+    """
+    held, last, long = np.zeros(0, np.int64), None, False  # the list that the next batch may go on with
+
+    def out(a, b, members):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.minimum(a, b), members])), pa.concat_arrays([pa.array(np.maximum(a, b)), pa.nulls(len(members), pa.int64())])], names=["a", "b"])
+
+    none = np.zeros(0, np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, key, fp = (np.asarray(batch.column(c)) for c in ("k", "bytes", "fp"))
+        cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (key[1:] != key[:-1])]))
+        members = [none]
+        if last == (k[0], key[0]):
+            stop = int(cut[1]) if len(cut) > 1 else len(fp)
+            if long or len(held) + stop > SHORT:
+                members += [held, fp[:stop]]
+                held, long = none, True
+                fp, cut, k, key = fp[stop:], cut[1:] - stop, k[stop:], key[stop:]
+            else:
+                n = len(held)
+                fp, k, key = np.concatenate([held, fp]), np.concatenate([np.repeat(k[:1], n), k]), np.concatenate([np.repeat(key[:1], n), key])
+                cut = np.concatenate([[0], cut[1:] + n])
+        elif 1 < len(held):
+            yield out(*_short_pairs(np.array([len(held)]), np.array([0]), held), none)
+        if not len(cut):
+            yield out(none, none, np.concatenate(members))
+            continue
+        size = np.diff(np.append(cut, len(fp)))
+        last, long = (k[cut[-1]], key[cut[-1]]), bool(size[-1] > SHORT)
+        held = none if long else fp[cut[-1] :].copy()
+        whole = np.arange(len(cut)) < len(cut) - 1  # the last one may go on
+        big = np.flatnonzero(size > SHORT)
+        members += [fp[cut[g] : cut[g] + size[g]] for g in big]
+        some = whole & (size > 1) & (size <= SHORT)
+        yield out(*_short_pairs(size[some], cut[some], fp), np.concatenate(members))
+    if len(held) > 1:
+        yield out(*_short_pairs(np.array([len(held)]), np.array([0]), held), none)
+
+
 def links(distinct: DataFrame, most: int = 2) -> DataFrame:
     """Links (a, b) among distinct fingerprints (column fp) whose components equal those of all pairs at `most` or fewer differing bits.
 
-    Two such fingerprints share at least 8 - most positional bytes, the guaranteed minimum of matches. Posting lists are kept per set of so
-    many positions and their byte values: a pair meets in C(t, 8 - most) lists if it shares t positional bytes, so a pair's tally reaches the minimum
-    exactly if some list has both. Each list tallies shared bytes, filters by the count and verifies the bits; a list has at most
-    256 ** most fingerprints however large the corpus, and only a forest of its links leaves the task.
+    Two such fingerprints share at least m = 8 - most positional bytes, the guaranteed minimum. The index lists every fingerprint under each
+    choice of m - 1 positions and its bytes there, so that a pair with t bytes in common meets in C(t, m - 1) lists. Meetings are tallied per
+    pair: m of them say that m bytes are shared, fewer that a pair shares m - 1 only and goes. What is left is verified bit by bit.
+
+    A list of over SHORT members isn't paired. Its members are listed under each choice of m positions instead: a pair of the minimum that met
+    in a long list meets there again, shares m bytes by its key, and has its bits verified in the list, of which only a forest leaves the task.
+    Such a list has at most 256 ** most members however large the corpus. A pair of the minimum meets either in short lists only, and its tally
+    is whole, or in a long one, so none is lost.
     """
     if not 1 <= most <= 2:
         raise ValueError("most must be 1 or 2")
     ship(distinct.sparkSession)
-    keep = _BYTES - most
-    masks = [sum(0xFF << 8 * p for p in some) for some in combinations(range(_BYTES), keep)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.lit(m) for m in signed])).alias("k", "mask")).select("fp", F.col("k").cast("byte").alias("k"), F.col("fp").bitwiseAND(F.col("mask")).alias("bytes"))
-    lists = keyed.groupBy("k", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+    least = _BYTES - most
+    met = _masked(distinct, least - 1).repartition("k", "bytes").sortWithinPartitions("k", "bytes")
+    met = stored(met.mapInArrow(_meetings, "a long, b long"), "meetings")
+    tallied = met.where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    near = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).select("a", "b")
+    dense = met.where("b is null").select(F.col("a").alias("fp")).distinct()
+    lists = _masked(dense, least).groupBy("k", "bytes").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
     def each(batches):
         for batch in batches:
             col = batch.column("fps")
             flat, off = np.asarray(col.flatten()).view(np.uint64), np.asarray(col.offsets).astype(np.int64)
             off = off - off[0]
-            n = np.diff(off)
-            a, b = [], []
-            two = off[:-1][n == 2]
-            x, y = flat[two], flat[two + 1]
-            ok = (_tally(x, y) >= keep) & (np.bitwise_count(x ^ y) <= most)
-            a.append(x[ok])
-            b.append(y[ok])
-            for k in np.flatnonzero(n > 2):
-                got = list_links(flat[off[k] : off[k + 1]], most, keep)
-                a.append(got[0])
-                b.append(got[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)], names=["a", "b"])
-
-    return lists.mapInArrow(each, "a long, b long")
+            got = [list_links(flat[a:b], most) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *[g[z] for g in got]]).view(np.int64)) for z in (0, 1)], names=["a", "b"])
+
+    return near.unionByName(lists.mapInArrow(each, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
@@ -167,12 +223,12 @@ def hex_of(fp) -> F.Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, one each: repeated rows of that id are one. Columns are those of docs."""
-    found = near_duplicates(docs, id_col, text_col, **kw).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = stored(found, "kept")
-    # both sides by a shuffle at every size, never by sending ids to all executors: their number grows with the corpus
-    own = kept.select(F.col("doc_id").alias("_kept_id")).hint("merge")
-    out = docs.join(own, docs[f"`{id_col}`"].cast("long").eqNullSafe(own["_kept_id"]), "left_semi")
-    if kept.where("n > 1").isEmpty():
-        return out
-    return out.dropDuplicates([id_col])
+    """One row of docs of each component: the one of the smallest doc_id (a null comes last; of different texts under one id, that of the smallest hash).
+
+    Rows are told apart by id and text, so texts that share an id, or have none, stay unless their own component has another row. Columns are those of docs.
+    """
+    marks = stored(fingerprints(docs, id_col, text_col, marks=True, **{k: v for k, v in kw.items() if k == "width"}), "simhash")
+    nodes = marks.select("fp").distinct()
+    root = components(links(stored(nodes, "nodes"), kw.get("most", 2)))
+    placed = marks.join(root, marks.fp == root.node, "left").select("doc_id", "mark", F.coalesce("root", "fp").alias("root"))
+    return keep_rows(docs, placed, id_col, text_col)
