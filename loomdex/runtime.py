@@ -23,12 +23,14 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or, only where that is unset (tests), a temporary one."""
+    """The folder that all machines share: spark.checkpoint.dir, or, where that is unset and all runs in one process (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         with _lock:
             found = getattr(spark.sparkContext, "_loomdex_shared", None)
             if not found:
+                if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                    raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
                 found = "file://" + tempfile.mkdtemp(prefix="loomdex-")
                 spark.sparkContext._loomdex_shared = found
     return found.rstrip("/")
@@ -85,7 +87,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and lets AQE split skewed joins on it."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomdex_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for tables that nothing reads any more, such as a loop's earlier rounds."""
+    for t in tables:
+        if path := getattr(t, "_loomdex_path", None):
+            remove(t.sparkSession, path)
 
 
 def arrow_udf(schema: str):
