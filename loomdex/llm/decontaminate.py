@@ -184,7 +184,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     n, runs, items = (distinct_name(docs, c) for c in ("n_words", "hit_runs", "items"))
     out = docs.select("*", F.lit(0).alias(n), F.array().cast(_FOUND).alias(runs), F.array().cast("array<string>").alias(items))
     for k in range(blocks):
-        rows = [(r.item, r.body) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toLocalIterator()]
+        rows = [(r.item, r.body) for r in bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).toLocalIterator()]
         parts = []
         if rows:
             raw, offsets = utf8(pa.array([b for _, b in rows], pa.string()))
@@ -231,12 +231,13 @@ def digest(leaks: DataFrame, id_col: str = "doc_id", share: int = 20, n: str = "
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int = 20, **kw) -> DataFrame:
-    """The rows of docs, with their own columns only, that are not contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: int | None = 20, **kw) -> DataFrame:
+    """The rows of docs, with their own columns only, that are not contaminated: by `share` as in digest(), or, if it is None, those without any hit."""
     leaks = find_leaks(docs, benchmark, **kw)
-    n, runs, items = leaks.columns[-3:]
-    hit = F.aggregate(runs, F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
-    return leaks.where(~((hit > 0) & (share * hit >= F.col(n)))).select(*[f"`{c}`" for c in docs.columns])
+    n, runs, _ = leaks.columns[-3:]
+    hit = F.aggregate(f"`{runs}`", F.lit(0).cast("long"), lambda acc, r: acc + r["to"] - r["from"])
+    bad = hit > 0 if share is None else (hit > 0) & (share * hit >= F.col(f"`{n}`"))
+    return leaks.where(~bad).select(*[f"`{c}`" for c in docs.columns])
 
 
 def brute_force(text: str | None, items: dict[str, str], width: int = 13) -> tuple[int, int, int, str, bool]:

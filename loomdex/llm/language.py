@@ -8,12 +8,15 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomdex.llm.common import pick, ship, stored, text_blocks
+from loomdex.llm.common import distinct_name, pick, ship, stored, text_blocks
 
-#: Labelled documents per language (about; a hash of the id chooses them) that a model is fitted on, and words it may hold.
+#: The sample a model is fitted on: labelled documents per language (about; a hash of the id chooses them), and languages, those with most documents.
 FIT_DOCS = 2_000
-MOST_WORDS = 400_000
+FIT_LANGS = 200
+#: Words up to which a text's evidence counts in the score: with more, it isn't surer.
+EVIDENCE = 20
 #: Distinct tokens that a worker remembers between blocks.
 REMEMBERED = 400_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
@@ -32,24 +35,26 @@ class Model:
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray]):
         """words: counts per language. A gram's counts are those of the words it occurs in."""
-        self.langs = langs
-        total = np.sum(list(words.values()), axis=0) if words else np.zeros(len(langs))
-        self.table, self.row = [], {}
         gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         for w, c in words.items():
             for n in range(1, LONGEST + 1):
                 for g in grams(w, n):
-                    if (have := gram[n].get(g)) is None:
-                        gram[n][g] = c.astype(float)
-                    else:
-                        have += c
-        self.words = {w: k for k, w in enumerate(words)}
-        self.score = self._log(np.array(list(words.values()), float).reshape(-1, max(1, len(langs))), total)
-        self.gram_at, self.gram_score = [], []
-        for n in range(LONGEST + 1):
-            self.gram_at.append({g: k for k, g in enumerate(gram[n])})
-            rows = np.array(list(gram[n].values()), float).reshape(-1, max(1, len(langs)))
-            self.gram_score.append(self._log(rows, rows.sum(0)))
+                    gram[n][g] = gram[n].get(g, 0) + np.asarray(c, float)
+        table = lambda d: (list(d), np.array(list(d.values()), float).reshape(-1, max(1, len(langs))))
+        self._set(langs, table(words), [table(g) for g in gram])
+
+    @classmethod
+    def counted(cls, langs: list[str], words: tuple[list[str], np.ndarray], gram: list[tuple[list[str], np.ndarray]]) -> Model:
+        """The model of counts made elsewhere: names and their counts per language, for words and for the grams of each length from 0 on."""
+        out = cls.__new__(cls)
+        out._set(langs, words, gram)
+        return out
+
+    def _set(self, langs, words, gram) -> None:
+        self.langs = langs
+        self.words, self.score = {w: k for k, w in enumerate(words[0])}, self._log(words[1])
+        self.gram_at = [{g: k for k, g in enumerate(names)} for names, _ in gram]
+        self.gram_score = [self._log(counts) for _, counts in gram]
         self.forget()
 
     def forget(self) -> None:
@@ -58,8 +63,8 @@ class Model:
         self.seen_rows, self.seen_n = np.zeros((0, len(self.langs)), np.float32), np.zeros(0, np.int64)
 
     @staticmethod
-    def _log(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.log((counts + 0.1) / (total + 0.1 * max(1, len(counts)))).astype(np.float32)
+    def _log(counts: np.ndarray) -> np.ndarray:
+        return np.log((counts + 0.1) / (counts.sum(0) + 0.1 * max(1, len(counts)))).astype(np.float32)
 
     def word(self, w: str) -> np.ndarray:
         """A known word's scores; else the mean over its known n-grams of the longest order that has any; else zeros."""
@@ -93,7 +98,7 @@ class Model:
         return self.seen_rows[at], self.seen_n[at]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """(language or und, probability): scores are means over a text's words; the probability takes 20 words at most as evidence."""
+        """(language or und, probability): scores are means over a text's words; the probability takes EVIDENCE words at most as evidence."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -107,7 +112,7 @@ class Model:
         count = np.bincount(doc, weights=n[at], minlength=len(texts))
         total = np.stack([np.bincount(doc, weights=rows[at, j], minlength=len(texts)) for j in range(len(self.langs))], axis=1)
         mean = total / np.maximum(count, 1)[:, None]
-        z = (mean - mean.max(1, keepdims=True)) * np.minimum(count, 20)[:, None]
+        z = (mean - mean.max(1, keepdims=True)) * np.minimum(count, EVIDENCE)[:, None]
         p = np.exp(z)
         p /= p.sum(1, keepdims=True)
         best = mean.argmax(1)
@@ -119,52 +124,59 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
-    """Fit a model on labelled documents that are not held out, about fit_docs a language at most, whole texts.
+def _counts(table: DataFrame, n_langs: int) -> tuple[list[str], np.ndarray]:
+    """(names, counts per language) of table(g, l, n)."""
+    got = table.toArrow()
+    coded = got.column("g").combine_chunks().dictionary_encode()
+    out = np.zeros((len(coded.dictionary), n_langs))
+    out[np.asarray(coded.indices), np.asarray(got.column("l"))] = np.asarray(got.column("n"))
+    return coded.dictionary.to_pylist(), out
+
 
-    Words seen once are left to the n-grams unless the sample is small; the MOST_WORDS most frequent words are kept, which bounds the
-    model. No label, no language: such a model answers und.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_langs: int = FIT_LANGS) -> Model:
+    """Fit a model on labelled documents that are not held out, about fit_docs a language at most, whole texts, of the fit_langs languages with most documents.
+
+    All words and n-grams of the sample are kept, whatever its size; its bound, a parameter, bounds the model. Words and the n-grams of
+    distinct words are counted in Spark. No label, no language: such a model answers und.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    # one row per language
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(fit_langs).collect()}
     langs = sorted(n)
     if not langs:
         return Model([], {})
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 20, -(-(fit_docs << 20) // k)))) for x, k in n.items()])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string")), F.lit(1 << 20)) < share)
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    counts = stored(chosen.select("lang", words.alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")), "lang-words")
-    tallied = counts.groupBy("w").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{k}") for k, x in enumerate(langs)])
-    often = tallied.where("all > 1") if counts.count() > 50_000 else tallied
-    often = stored(often, "lang-model")
-    table = (often.orderBy(F.desc("all"), "w").limit(MOST_WORDS) if often.count() > MOST_WORDS else often).toArrow().combine_chunks()
-    if not table.num_rows:
-        return Model([], {})
-    c = np.stack([np.asarray(table.column(f"l{k}")) for k in range(len(langs))], axis=1)
-    return Model(langs, dict(zip(table.column("w").to_pylist(), c, strict=True)))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(x, k, min(1 << 20, -(-(fit_docs << 20) // n[x]))) for k, x in enumerate(langs)], "lang string, l int, share long"))
+    chosen = rows.withColumn("lang", F.col("lang").cast("string")).join(known, "lang").where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id").cast("string")), F.lit(1 << 20)) < F.col("share"))
+    words = stored(chosen.select("l", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("g")).groupBy("g", "l").agg(F.count(F.lit(1)).alias("n")), "lang-words")
+    framed = F.concat(F.lit("<"), F.col("g"), F.lit(">"))
+    parts = lambda k: F.transform(F.sequence(F.lit(1), F.length(framed) - k + 1), lambda at: F.substr(framed, at, F.lit(k)))
+    found = F.flatten(F.array(*[F.when(F.length(framed) >= k, parts(k)).otherwise(F.array().cast("array<string>")) for k in range(1, LONGEST + 1)]))
+    gram = stored(words.select("l", "n", F.explode(found).alias("g")).groupBy("g", "l").agg(F.sum("n").alias("n")), "lang-grams")
+    return Model.counted(langs, _counts(words, len(langs)), [_counts(gram.where(F.length("g") == k), len(langs)) for k in range(LONGEST + 1)])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """docs with the predicted language and a score from 0 to 1 as two columns more, by the text alone; null or letterless text: und, 0.
 
-    A word begins with a letter and goes on with letters and combining marks. Columns of docs with the two names are replaced.
+    A word begins with a letter and goes on with letters and combining marks. The columns come last; their names get underscores where docs
+    has them already, and docs' own columns stay.
 
     Rows are never moved. The model, of bounded size, goes to the executors; a text is read whole.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = [distinct_name(docs, lang_name), distinct_name(docs, score_name)]
 
     def each(batches):
         for batch in batches:
             for part in text_blocks(batch, text_col):
                 lang, score = sent.value.predict(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, lang_name, score_name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, *names])
 
-    kept = docs.select(*[c for c in docs.columns if c not in (lang_name, score_name)])
-    return kept.mapInArrow(each, kept.selectExpr("*", f"string(null) as {lang_name}", f"double(null) as {score_name}").schema)
+    return docs.mapInArrow(each, T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, whose language is told with a score of `least` or more."""
-    return identify(docs, model, text_col, "__lang", "__score").where((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+    told = identify(docs, model, text_col)
+    lang, score = (told[f"`{c}`"] for c in told.columns[-2:])
+    return told.where((lang != "und") & (score >= least)).select(*[f"`{c}`" for c in docs.columns])

@@ -218,7 +218,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, **k
     Large pieces (from a quarter or an eighth of the size on) are put in groups of equal number and count as their group's longest; configurations of those few
     sizes are chosen by subset sums, each time around the longest size that is left, and used as often as the groups allow; actual pieces
     replace the rounded sizes, and small pieces go best-fit, longest first, into the room that is left. Of a few numbers of groups the one with the fewest sequences is taken. All this takes the number of pieces of each length
-    only, at most `size` numbers. Pieces then find their place by their rank among those of their length, in one join on (task, length).
+    only, at most `size` numbers. Pieces then find their place by their rank among those of their length, in one join on (task, length),
+    by a shuffle at every size: both sides grow with the corpus.
     Repeated rows are packed each; an empty or null text is one piece of the end id; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, **k
     sent = spark.sparkContext.broadcast(best_plan(counts, size).table())
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = stored(made.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
-    ranked = found.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = found.join(base.hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("nth"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     tail = ["ids"] if "ids" in found.columns else []
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +50,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.loomdex.pseudonymKey", "a key for tests")
+    """Under the key in spark.loomdex.pseudonymKey; without one, a random key per call, so that pseudonyms link within the result only."""
+    key = spark.conf.get("spark.loomdex.pseudonymKey", None) or secrets.token_hex(32)
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
@@ -63,7 +66,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, scratch_path(spark, "shards"))
     store.append(table(spark, sf_dir, "documents"))
-    store.compact(finish=True)
+    store.compact(finish=True, grace=0)  # nobody else knows this store
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
