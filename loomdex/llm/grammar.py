@@ -38,30 +38,35 @@ def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | None = None, per_round: int = 4096) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(base, left, right, expansion lengths, symbols, each document's end in symbols).
 
-    Rounds go on until no pair occurs `least` times any more or symbols run out, unless `rounds` bounds them. Each round counts every adjacent pair of the shard, takes the most frequent ones that occur `least` times or more, and replaces
-    their occurrences from left to right, where chosen pairs overlap the earlier; a pair that keeps fewer than `least`, or shares its slot in the lookup table, waits for the next round. Symbols stay
-    under 2 ** 16 if the ids leave room; pairs are then counted as 32-bit numbers.
+    Rounds go on until no pair occurs `least` times any more or symbols run out, unless `rounds` bounds them. Each round counts adjacent pairs,
+    takes the most frequent ones that occur `least` times or more, and replaces their occurrences from left to right, where chosen pairs overlap
+    the earlier; a pair that keeps fewer than `least`, or shares its slot in the lookup table, waits for the next round. Symbols stay under
+    2 ** 16 if the ids leave room; pairs are then counted as 32-bit numbers.
+
+    The shard is a linked list over the ids' places. A pair's number only falls once both its symbols exist, so a round looks at the places that
+    still had a frequent pair and at those beside new symbols: the first round reads the whole shard, later ones ever less.
     """
     base = max(1, int(ids.max()) + 1 if len(ids) else 1)
     narrow = base < 1 << 16
     room = (1 << 16) - base if narrow else 1 << 20
     kind, half = (np.uint32, 16) if narrow else (np.uint64, 32)
+    low = kind((1 << half) - 1)
     s = ids.astype(kind)
-    last = np.zeros(len(s), bool)
-    last[ends[ends > 0] - 1] = True
+    after = np.arange(1, len(s) + 1, dtype=np.int32)  # the next place, -1 at a document's end
+    after[ends[ends > 0] - 1] = -1
+    before = np.arange(-1, len(s) - 1, dtype=np.int32)
+    before[1:][after[:-1] < 0] = -1
+    here = np.ones(len(s), bool)  # whether a place still has a symbol
+    place = np.flatnonzero(after >= 0).astype(np.int32)  # places whose pair may be frequent
     left, right, size = [], [], np.ones(base, np.uint32)
     made = 0
     never, alone = np.zeros(0, kind), False  # pairs of one symbol twice that occur too rarely but for their own overlaps; whether a round takes one pair only
     while rounds is None or rounds > 0:
         rounds = None if rounds is None else rounds - 1
-        if len(s) < 2 or made >= room:
-            break
-        key = (s[:-1] << kind(half)) | s[1:]
-        inner = ~last[:-1]
-        order = key[inner]
-        order.sort()
-        if not len(order):
+        if not len(place) or made >= room:
             break
+        key = (s[place] << kind(half)) | s[after[place]]
+        order = np.sort(key)
         cut = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
         count = np.diff(np.append(cut, len(order)))
         often = np.flatnonzero(count >= least)
@@ -69,21 +74,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | No
             often = often[~np.isin(order[cut[often]], never)]
         if not len(often):
             break
+        # other places can't come to a frequent pair again; a slot shared with a frequent one keeps some of them, which costs time only
+        slots = np.zeros(1 << _SLOTS, bool)
+        slots[_slot(order[cut[often]])] = True
+        keep = slots[_slot(key)]
+        place, key = place[keep], key[keep]
         if alone:  # one of two different symbols does not overlap itself
             value = order[cut[often]]
-            often = often[(value >> kind(half)) != (value & kind((1 << half) - 1))]
+            often = often[(value >> kind(half)) != (value & low)]
         n = 1 if alone else min(per_round, room - made)
         if len(often) > n:
             often = often[np.argpartition(-count[often], n - 1)[:n]]
         chosen = np.sort(order[cut[often]])
         del order, cut, count
         at, which = _places(key, chosen)
-        ok = inner[at]
-        at, which = at[ok], which[ok]
+        at = place[at]
         for again in range(2):  # once more without the pairs that overlaps left too rare
-            fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
-            run = np.maximum.accumulate(np.where(fresh, at, 0))
-            free = (at - run) % 2 == 0
+            nth = np.arange(len(at))
+            fresh = np.concatenate([[True], at[1:] != after[at[:-1]]])
+            free = (nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0
             poor = np.bincount(which[free], minlength=len(chosen)) < least
             if again or not poor.any():
                 break
@@ -93,7 +102,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | No
         at, which = at[ok], which[ok]
         good = np.flatnonzero(~poor)
         if not len(good):  # pairs overlapped each other: the most frequent goes alone; twice one symbol can only overlap itself
-            twice = (chosen >> kind(half)) == (chosen & kind((1 << half) - 1))
+            twice = (chosen >> kind(half)) == (chosen & low)
             alone = not twice.all()
             if not alone:
                 found = np.zeros(1 << _SLOTS, np.int32)
@@ -103,20 +112,30 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | No
         alone = False
         rename = np.zeros(len(chosen), kind)
         rename[good] = base + made + np.arange(len(good), dtype=kind)
-        a, b = (chosen[good] >> kind(half)).astype(np.uint32), (chosen[good] & kind((1 << half) - 1)).astype(np.uint32)
+        a, b = (chosen[good] >> kind(half)).astype(np.uint32), (chosen[good] & low).astype(np.uint32)
         left.append(a)
         right.append(b)
         size = np.concatenate([size, size[a] + size[b]])
         made += len(good)
         s[at] = rename[which]
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        last[at] |= last[at + 1]
-        s, last = s[keep], last[keep]
-    stop = np.flatnonzero(last) + 1
+        gone = after[at]
+        here[gone] = False
+        then = after[gone]
+        after[at] = then
+        before[then[then >= 0]] = at[then >= 0]
+        place = np.concatenate([place, before[at]])
+        place = place[(place >= 0) & here[place] & (after[place] >= 0)]
+        if len(place) * 8 > len(s):
+            look = np.zeros(len(s), bool)
+            look[place] = True
+            place = np.flatnonzero(look).astype(np.int32)
+        else:
+            place.sort()
+            place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+    s, after = s[here], after[here]
     full = np.diff(np.concatenate([[0], ends])) > 0
     sym_ends = np.zeros(len(ends), np.int64)
-    sym_ends[full] = stop
+    sym_ends[full] = np.flatnonzero(after < 0) + 1
     sym_ends = np.maximum.accumulate(sym_ends) if len(ends) else sym_ends
     none = np.zeros(0, np.uint32)
     return base, np.concatenate([none, *left]), np.concatenate([none, *right]), size[base:], s, sym_ends
