@@ -90,9 +90,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | No
         at, which = _places(key, chosen)
         at = place[at]
         for again in range(2):  # once more without the pairs that overlaps left too rare
-            nth = np.arange(len(at))
+            nth = np.arange(len(at), dtype=np.int32)
             fresh = np.concatenate([[True], at[1:] != after[at[:-1]]])
-            free = (nth - np.maximum.accumulate(np.where(fresh, nth, 0))) % 2 == 0
+            free = ((nth - np.maximum.accumulate(np.where(fresh, nth, np.int32(0)))) & 1) == 0
             poor = np.bincount(which[free], minlength=len(chosen)) < least
             if again or not poor.any():
                 break
@@ -131,7 +131,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, least: int = 8, rounds: int | No
             place = np.flatnonzero(look).astype(np.int32)
         else:
             place.sort()
-            place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+            place = place[np.diff(place, prepend=-1) > 0]
     s, after = s[here], after[here]
     full = np.diff(np.concatenate([[0], ends])) > 0
     sym_ends = np.zeros(len(ends), np.int64)
