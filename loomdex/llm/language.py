@@ -51,10 +51,11 @@ class Model:
         return out
 
     def _set(self, langs, words, gram) -> None:
+        names = lambda x: pa.array(x, pa.large_string())
         self.langs = langs
-        self.words, self.score = {w: k for k, w in enumerate(words[0])}, self._log(words[1])
-        self.gram_at = [{g: k for k, g in enumerate(names)} for names, _ in gram]
-        self.gram_score = [self._log(counts) for _, counts in gram]
+        self.words, self.score = names(words[0]), self._log(words[1])
+        self.gram, self.gram_score = [names(x) for x, _ in gram], [self._log(counts) for _, counts in gram]
+        self._at: list[dict[str, int]] = []
         self.forget()
 
     def forget(self) -> None:
@@ -68,31 +69,54 @@ class Model:
 
     def word(self, w: str) -> np.ndarray:
         """A known word's scores; else the mean over its known n-grams of the longest order that has any; else zeros."""
-        if (k := self.words.get(w)) is not None:
+        if not self._at:
+            self._at = [{x: k for k, x in enumerate(names.to_pylist())} for names in (self.words, *self.gram)]
+        if (k := self._at[0].get(w)) is not None:
             return self.score[k]
         for n in range(min(LONGEST, len(w) + 2), 0, -1):
-            if at := [k for g in grams(w, n) if (k := self.gram_at[n].get(g)) is not None]:
+            if at := [k for g in grams(w, n) if (k := self._at[n + 1].get(g)) is not None]:
                 return self.gram_score[n][at].mean(0)
         return np.zeros(len(self.langs), np.float32)
 
-    def token(self, t: str) -> tuple[np.ndarray, int]:
-        """(summed scores, words) of what stands between white space."""
-        found = _WORD.findall(t.lower())
-        if len(found) == 1:
-            return self.word(found[0]), 1
-        return (np.sum([self.word(w) for w in found], axis=0), len(found)) if found else (np.zeros(len(self.langs), np.float32), 0)
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """word() of many words at once, without a table of Python strings."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        at = np.asarray(pc.index_in(pa.array(words, pa.large_string()), value_set=self.words).fill_null(-1))
+        out[at >= 0] = self.score[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            found = [grams(words[k], n) for k in left.tolist()]
+            of = np.repeat(np.arange(len(left)), [len(g) for g in found])
+            at = np.asarray(pc.index_in(pa.array([x for g in found for x in g], pa.large_string()), value_set=self.gram[n]).fill_null(-1))
+            of, at = of[at >= 0], at[at >= 0]
+            n_found = np.bincount(of, minlength=len(left))
+            total = np.stack([np.bincount(of, weights=self.gram_score[n][at, j], minlength=len(left)) for j in range(len(self.langs))], axis=1)
+            has = n_found > 0
+            out[left[has]] = total[has] / n_found[has, None]
+            left = left[~has]
+        return out
+
+    def score_tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(summed scores, words) of each of what stands between white space."""
+        found = [_WORD.findall(t.lower()) for t in tokens]
+        size = np.array([len(f) for f in found], np.int64)
+        flat = [w for f in found for w in f]
+        of = np.repeat(np.arange(len(tokens)), size)
+        scores = self.score_words(flat)
+        return np.stack([np.bincount(of, weights=scores[:, j], minlength=len(tokens)) for j in range(len(self.langs))], axis=1).astype(np.float32), size
 
     def _tokens(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """token() of distinct tokens; new ones are scored and remembered."""
+        """score_tokens() of distinct tokens; new ones are scored and remembered."""
         if len(self.seen) > REMEMBERED:
             self.forget()
         at = pc.index_in(names, value_set=self.seen)
         if at.null_count:
             new = names.filter(at.is_null())
-            scored = [self.token(t) for t in new.to_pylist()]
+            rows, n = self.score_tokens(new.to_pylist())
             self.seen = pa.concat_arrays([self.seen, new])
-            self.seen_rows = np.concatenate([self.seen_rows, np.array([r for r, _ in scored], np.float32).reshape(-1, len(self.langs))])
-            self.seen_n = np.concatenate([self.seen_n, np.array([k for _, k in scored], np.int64)])
+            self.seen_rows, self.seen_n = np.concatenate([self.seen_rows, rows]), np.concatenate([self.seen_n, n])
             at = pc.index_in(names, value_set=self.seen)
         at = np.asarray(at)
         return self.seen_rows[at], self.seen_n[at]
