@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import keep_rows, pick, ship, stored, text_blocks, utf8
+from loomdex.llm.common import discard, keep_rows, pick, ship, stored, text_blocks, utf8
 from loomdex.llm.components import components
 from loomdex.llm.simhash import fold, links, shingle_hashes
 from loomdex.llm.words import SPACED, words_of
@@ -16,8 +16,10 @@ from loomdex.llm.words import SPACED, words_of
 LEAST = 0.8
 #: Rows (about; a hash of the text chooses them) that frequent shingles are told by, rows of those that a frequent one has, and how many are kept.
 SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
-#: Members up to which a list gives all its pairs at once.
-SHORT = 16
+#: Members up to which a list's pairs are all compared in any round, and up to which a list is one task's.
+SHORT, TILE = 16, 4_096
+#: Shingles of a prefix, the first in the order, whose lists the first rounds take.
+FIRST = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +62,11 @@ def tally(x: np.ndarray) -> bytes:
     return np.minimum(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
+def parity(x: np.ndarray) -> bytes:
+    """512 bits: whether an odd number of a set's shingles falls to each. Two sets differ in at least as many shingles as their bits differ."""
+    return np.packbits((np.bincount(((x >> np.uint64(8)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
 def _often(rows: DataFrame) -> np.ndarray:
     """Shingles frequent in a sample. They come last in the order, which any choice leaves valid: it only keeps lists short."""
     n = rows.count()
@@ -76,7 +83,7 @@ def _often(rows: DataFrame) -> np.ndarray:
 
 
 def marked(rows: DataFrame, least: float) -> DataFrame:
-    """(doc_id, mark, fp, node, n, tally, prefix) per row of rows(doc_id, mark, text): SimHash of three words, digest, size and tally of the set, its prefix."""
+    """(doc_id, mark, fp, node, n, tally, bits, prefix) per row of rows(doc_id, mark, text): SimHash of three words, digest, size, tally and parities of the set, its prefix."""
     sent = rows.sparkSession.sparkContext.broadcast(_often(rows))
 
     def each(batches):
@@ -90,121 +97,203 @@ def marked(rows: DataFrame, least: float) -> DataFrame:
                 rare = x[~late][:k]
                 head.append(rare if len(rare) == k else np.concatenate([rare, x[late][: k - len(rare)]]))
             node = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fold(h, first).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([tally(x) for x in sets], pa.binary()), _lists(head)], names=["doc_id", "mark", "fp", "node", "n", "tally", "prefix"])
-
-    return rows.mapInArrow(each, "doc_id long, mark long, fp long, node long, n int, tally binary, prefix array<long>")
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fold(h, first).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([tally(x) for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.binary()), _lists(head)], names=["doc_id", "mark", "fp", "node", "n", "tally", "bits", "prefix"])
 
+    return rows.mapInArrow(each, "doc_id long, mark long, fp long, node long, n int, tally binary, bits binary, prefix array<long>")
 
-def _candidates(lists: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of lists(h, node, n, root): of members with different roots, or in a long list, if roots are null, of first ones with those after.
 
-    Then a long list's members come as well, as rows (a, null, h, n).
+def _shared(batches):
+    """The rows (h, k, node), which come in the order of h, of the h that have two rows or more. One row is held at most."""
+    held, told = None, False  # the last row, and whether its h had others before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h = np.asarray(batch.column("h"))
+        same = h[1:] == h[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if held is not None and held.column("h")[0].as_py() == h[0]:
+            keep[0] = True
+            if not told:
+                yield held
+        told = bool(keep[-1])
+        held = batch.slice(batch.num_rows - 1, 1)
+        yield batch.filter(pa.array(keep))
+
+
+def _groups(batches, columns: list[str]):
+    """Tables of whole groups from rows that come in the order of the columns."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        keys = [np.asarray(t.column(c)) for c in columns]
+        last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if len(t) else np.zeros(0, int)
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
+    """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes and parities don't rule out.
+
+    mode: `first` compares a long list's first member by size, and the first beyond the sizes it can be like, with those after; `nearest`
+    gives each member's most likely partner; `all` gives all pairs. Up to SHORT members all pairs are given in any mode. A list of over TILE
+    members is dealt to tiles: by a hash for the first two modes, by pairs of blocks for `all`. Comparing stays in the task.
     """
+    rows = lists.join(sketches, "node")
+    rows = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = stored(lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "long-lists")
+    rows = rows.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes.hint("merge"), "h", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    if mode == "all":
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    else:
+        rows = rows.withColumns({"x": F.col("own"), "y": F.col("own")})
+    rows = rows.select("h", "x", "y", "own", "node", "n", "bits", "root")
+    slack = (1 - least) / (1 + least)
+
+    def fits(words, n, root, i, j):
+        """Whether the pairs (i, j) of arrays that broadcast can be alike, and how much room they leave."""
+        differ = np.zeros(np.broadcast(i, j).shape, np.int16)
+        for w in range(8):
+            differ += np.bitwise_count(words[i, w] ^ words[j, w]).astype(np.int16)
+        room = slack * (n[i] + n[j]) + 1e-6 - differ
+        return (room >= 0) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (root[i] != root[j]), room
 
     def each(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        h, node, n = (np.asarray(t.column(c)) for c in ("h", "node", "n"))
-        free = t.column("root").null_count == len(t)
-        root = node if free else np.asarray(t.column("root"))
-        order = np.lexsort((node, n, h))
-        h, node, n, root = h[order], node[order], n[order], root[order]
-        cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if e - s < 2 or (root[s:e] == root[s]).all():
-                continue
+        for t in _groups(batches, ["h", "x", "y"]):
+            h, x, y, own, node, n, root = (np.asarray(t.column(c)) for c in ("h", "x", "y", "own", "node", "n", "root"))
+            words = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 8)
+            n = n.astype(float)
+            order = np.lexsort((node, n, y, x, h))
+            h, x, y, own, node, n, root, words = (z[order] for z in (h, x, y, own, node, n, root, words))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            cut = np.flatnonzero(new)
+            size = np.diff(np.append(cut, len(h)))
+            mixed = np.maximum.reduceat(root, cut) != np.minimum.reduceat(root, cut)
             a, b = [], []
-            i = s
-            while i < e - 1:
-                stop = s + int(np.searchsorted(n[s:e], n[i] / least + 1e-9, side="right"))
-                other = np.arange(i + 1, stop)
-                other = other[root[other] != root[i]]
-                a.append(np.full(len(other), node[i]))
-                b.append(node[other])
-                if sum(map(len, a)) > 1 << 18:
-                    yield _pairs(a, b)
-                    a, b = [], []
-                i = max(stop, i + 1) if free and e - s > SHORT else i + 1
-            yield _pairs(a, b)
-            if free and e - s > SHORT:
-                yield pa.RecordBatch.from_arrays([pa.array(node[s:e]), pa.nulls(e - s, pa.int64()), pa.array(h[s:e]), pa.array(n[s:e], pa.int32())], names=["a", "b", "h", "n"])
-
-    return lists.select("h", "node", "n", "root").repartition("h").mapInArrow(each, "a long, b long, h long, n int").distinct()
-
-
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], names=["a", "b", "h", "n"])
-
-
-def _verified(pairs: DataFrame, marks: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """The pairs whose sets have the similarity. Tallies rule most others out; only texts of members of pairs that are left are read again."""
-
-    def bounded(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            ok = ((x & y) == 255).any(1) | (most >= least * (np.asarray(batch.column("n")) - most) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    known = stored(marks.select("node", "n", "tally").dropDuplicates(["node"]), "tallies")
-    tallied = lambda c, t: known.select(F.col("node").alias(c), F.col("tally").alias(t), F.col("n").alias(f"n_{t}"))
-    both = pairs.select("a", "b").join(tallied("a", "x"), "a").join(tallied("b", "y"), "b")
-    pairs = stored(both.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(bounded, "a long, b long"), "bounded")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = marks.groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("r")).join(ends, "node", "left_semi").select("r.mark", "r.doc_id")
-    first = stored(first, "ends")
-    on = [rows[c].eqNullSafe(first[c]) for c in ("mark", "doc_id")]
-
-    def sets(batches):
-        for _, h, at in _blocks(batches, []):
-            s = shingle_sets(h, at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in s], np.uint64).view(np.int64)), _lists(s)], names=["node", "s"])
-
-    own = stored(rows.join(first, on, "left_semi").select("text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
-
-    def each(batches):
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            (fx, ox), (fy, oy) = ((np.asarray(c.flatten()), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (x, y))
-            ok = []
-            for k in range(batch.num_rows):
-                p, q = fx[ox[k] : ox[k + 1]], fy[oy[k] : oy[k + 1]]
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for m in range(2, SHORT + 1):
+                at = cut[(size == m) & mixed]
+                if len(at):
+                    p, q = np.triu_indices(m, 1)
+                    i, j = (at[:, None] + p).ravel(), (at[:, None] + q).ravel()
+                    ok = fits(words, n, root, i, j)[0] & ((x[i] == y[i]) | (own[i] != own[j]))
+                    a.append(i[ok])
+                    b.append(j[ok])
+            for s, m in zip(cut[(size > SHORT) & mixed].tolist(), size[(size > SHORT) & mixed].tolist(), strict=True):
+                if mode == "first":
+                    i, stop = s, s + m
+                    while i < stop - 1:
+                        end = s + int(np.searchsorted(n[s:stop], n[i] / least + 1e-9, side="right"))
+                        j = np.arange(i + 1, end)
+                        j = j[fits(words, n, root, i, j)[0]] if len(j) else j
+                        a.append(np.full(len(j), i))
+                        b.append(j)
+                        i = max(end, i + 1)
+                    continue
+                every = np.arange(s, s + m)
+                for k in range(0, m, 256):
+                    i = every[k : k + 256]
+                    if mode == "all":
+                        ok = fits(words, n, root, i[:, None], every)[0] & (i[:, None] < every) & ((x[s] == y[s]) | (own[i][:, None] != own[every]))
+                        p, q = np.nonzero(ok)
+                        a.append(i[p])
+                        b.append(every[q])
+                    else:
+                        ok, room = fits(words, n, root, i[:, None], every)
+                        best = np.where(ok, room / (n[i][:, None] + n[every]), -1).argmax(1)
+                        has = ok[np.arange(len(i)), best]
+                        a.append(i[has])
+                        b.append(every[best[has]])
+            a, b = (node[np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64)] for z in (a, b))
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+
+    dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return dealt.mapInArrow(each, "a long, b long").distinct()
+
+
+class Verifier:
+    """Which pairs have sets of the similarity. Tallies rule most others out; only texts of members of pairs that are left are read again, once."""
+
+    def __init__(self, marks: DataFrame, known: DataFrame, rows: DataFrame, least: float):
+        self.marks, self.known, self.rows, self.least, self.sets = marks, known, rows, least, None
+
+    def _read(self, nodes: DataFrame) -> None:
+        """Add the sets of nodes that aren't there yet."""
+        new = nodes if self.sets is None else nodes.join(self.sets, "node", "left_anti")
+        first = stored(self.marks.groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("r")).join(new, "node", "left_semi").select("r.mark", "r.doc_id"), "ends")
+        if first.isEmpty() and self.sets is not None:
+            return
 
-    side = lambda c, s: own.select(F.col("node").alias(c), F.col("s").alias(s))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+        def sets(batches):
+            for _, h, at in _blocks(batches, []):
+                s = shingle_sets(h, at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in s], np.uint64).view(np.int64)), _lists(s)], names=["node", "s"])
+
+        on = [self.rows[c].eqNullSafe(first[c]) for c in ("mark", "doc_id")]
+        found = stored(self.rows.join(first, on, "left_semi").select("text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        least = self.least
+
+        def bounded(batches):
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                ok = ((x & y) == 255).any(1) | (most >= least * (np.asarray(batch.column("n")) - most) - 1e-9)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+        def exact(batches):
+            for batch in batches:
+                x, y = batch.column("x"), batch.column("y")
+                (fx, ox), (fy, oy) = ((np.asarray(c.flatten()), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (x, y))
+                ok = []
+                for k in range(batch.num_rows):
+                    p, q = fx[ox[k] : ox[k + 1]], fy[oy[k] : oy[k + 1]]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        tallied = lambda c, t: self.known.select(F.col("node").alias(c), F.col("tally").alias(t), F.col("n").alias(f"n_{t}"))
+        both = pairs.join(tallied("a", "x"), "a").join(tallied("b", "y"), "b")
+        left = stored(both.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(bounded, "a long, b long"), "bounded")
+        self._read(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        side = lambda c, s: self.sets.select(F.col("node").alias(c), F.col("s").alias(s))
+        return stored(left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "found")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """One row of docs of each component: links are five-word Jaccard similarities of `least` or more, and op4's (three words, two bits).
 
     Equal sets are one node. A set's prefix, under an order with frequent shingles last, meets the prefix of every set that is alike in some list (a shingle's
-    sets), so no link is missed. A long list first gives the pairs with its first members by size; what those join needs no other pair, and members that
-    are still apart are all compared. The row that stays has the smallest doc_id. Columns are those of docs.
+    sets), so no link is missed. Rounds over the lists of the first shingles join most of what belongs together: a long list's first member with
+    the others, then, twice, each member with its most likely partner of another component. Then all pairs of all lists whose members are
+    still apart are compared, which is few. The row that stays has the smallest doc_id. Columns are those of docs.
     """
     ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     marks = stored(marked(rows, least), "marks")
-    sets = marks.dropDuplicates(["node"]).select("node", "n", F.explode("prefix").alias("h"))
+    nodes = marks.dropDuplicates(["node"])
+    known = stored(nodes.select("node", "n", "tally", "bits"), "sketches")
+    listed = nodes.select("node", F.posexplode("prefix").alias("k", "h")).select("h", F.least("k", F.lit(127)).cast("byte").alias("k"), "node")
+    lists = stored(listed.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, k byte, node long"), "lists")
     by_fp = stored(marks.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
     rep = lambda c: by_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
     near = links(by_fp.select("fp")).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     same = marks.select("fp", "node").distinct().join(by_fp, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    listed = stored(_candidates(sets.withColumn("root", F.lit(None).cast("long")), least), "candidates")
-    pairs, long = listed.where("b is not null").select("a", "b"), listed.where("b is null").select("h", F.col("a").alias("node"), "n")
-    found = stored(near.unionByName(same).unionByName(_verified(pairs, marks, rows, least)), "found")
-    root = stored(components(found), "roots")
-    # lists that stay apart: only those with over SHORT members had pairs left out
-    if not long.isEmpty():
-        left = long.join(root, "node", "left").select("h", "node", "n", F.coalesce("root", "node").alias("root"))
-        more = stored(_candidates(left, least).select("a", "b").join(pairs, ["a", "b"], "left_anti"), "candidates")
-        if not more.isEmpty():
-            found = found.unionByName(stored(_verified(more, marks, rows, least), "found"))
-            root = stored(components(found), "roots")
+    found = stored(near.unionByName(same), "found")
+    root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
+    for mode, some in (("first", lists.where(F.col("k") < FIRST)), *[("nearest", lists.where(F.col("k") < FIRST))] * 2, ("all", lists)):
+        pairs = stored(_candidates(some, known.select("node", "n", "bits"), root, least, mode), "candidates")
+        if not pairs.isEmpty():
+            found = found.unionByName(verify(pairs))
+            root, before = stored(components(found), "roots"), root
+            discard(before)
+        discard(pairs)
     placed = marks.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return keep_rows(docs, placed, id_col, text_col)
