@@ -18,8 +18,8 @@ LEAST = 0.8
 SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
 #: Members up to which a list's pairs are all compared in any round, and up to which a list is one task's.
 SHORT, TILE = 16, 4_096
-#: Shingles of a prefix, the first in the order, whose lists the first rounds take.
-FIRST = 4
+#: One in so many lists, chosen by a hash, is taken by the first rounds.
+SOME = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -103,7 +103,7 @@ def marked(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _shared(batches):
-    """The rows (h, k, node), which come in the order of h, of the h that have two rows or more. One row is held at most."""
+    """The rows (h, node), which come in the order of h, of the h that have two rows or more. One row is held at most."""
     held, told = None, False  # the last row, and whether its h had others before
     for batch in batches:
         if not batch.num_rows:
@@ -271,25 +271,25 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """One row of docs of each component: links are five-word Jaccard similarities of `least` or more, and op4's (three words, two bits).
 
     Equal sets are one node. A set's prefix, under an order with frequent shingles last, meets the prefix of every set that is alike in some list (a shingle's
-    sets), so no link is missed. Rounds over the lists of the first shingles join most of what belongs together: a long list's first member with
-    the others, then, twice, each member with its most likely partner of another component. Then all pairs of all lists whose members are
-    still apart are compared, which is few. The row that stays has the smallest doc_id. Columns are those of docs.
+    sets), so no link is missed. Rounds join most of what belongs together: over some of the lists a long one's first member with the others, then each
+    member with its most likely partner of another component, and so again over all lists. Last, all pairs of all lists whose members are
+    still apart are compared: after the rounds these are few. The row that stays has the smallest doc_id. Columns are those of docs.
     """
     ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     marks = stored(marked(rows, least), "marks")
     nodes = marks.dropDuplicates(["node"])
     known = stored(nodes.select("node", "n", "tally", "bits"), "sketches")
-    listed = nodes.select("node", F.posexplode("prefix").alias("k", "h")).select("h", F.least("k", F.lit(127)).cast("byte").alias("k"), "node")
-    lists = stored(listed.repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, k byte, node long"), "lists")
+    lists = stored(nodes.select(F.explode("prefix").alias("h"), "node").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long"), "lists")
+    some = lists.where(F.pmod(F.xxhash64("h"), F.lit(SOME)) == 0)
     by_fp = stored(marks.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
     rep = lambda c: by_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
     near = links(by_fp.select("fp")).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
     same = marks.select("fp", "node").distinct().join(by_fp, "fp").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     found = stored(near.unionByName(same), "found")
     root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
-    for mode, some in (("first", lists.where(F.col("k") < FIRST)), *[("nearest", lists.where(F.col("k") < FIRST))] * 2, ("all", lists)):
-        pairs = stored(_candidates(some, known.select("node", "n", "bits"), root, least, mode), "candidates")
+    for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
+        pairs = stored(_candidates(taken, known.select("node", "n", "bits"), root, least, mode), "candidates")
         if not pairs.isEmpty():
             found = found.unionByName(verify(pairs))
             root, before = stored(components(found), "roots"), root
