@@ -89,14 +89,19 @@ def bigram_positions(spark, sf_dir):
     return got.select("doc_id", F.col("term").alias("bigram"), F.array_join("positions", ",").alias("positions"))
 
 
+def _terms(spark, sf_dir) -> DataFrame:
+    """The columns that unigram postings need, tokenised once."""
+    return stored(_docs(spark, sf_dir).select("doc_id", "title_words", "toks"), "terms")
+
+
 def tfidf(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _terms(spark, sf_dir)
     got = index.scored(index.postings(index.occurrences(d, 1, PLAIN, False), PLAIN, False), d.count())
     return got.select("doc_id", "term", F.col("df").cast("long").alias("df"), "score")
 
 
 def champion_list_top10(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _terms(spark, sf_dir)
     got = index.scored(index.postings(index.occurrences(d, 1, PLAIN, False), PLAIN, False), d.count())
     return index.ranked(got, 1, 10).select("term", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
@@ -361,6 +366,50 @@ def posting_lines(spark, sf_dir):
     return index.encode(index.scored(index.postings(index.occurrences(d, 2, PLAIN), PLAIN), d.count()), 2)
 
 
+def posting_decode(spark, sf_dir):
+    """The bigram index written as lines and read back."""
+    return index.decode(posting_lines(spark, sf_dir)).select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "score")
+
+
+def _elements(spark, sf_dir) -> DataFrame:
+    """documents as extracted pages: each line an element whose tag follows from its number, the title language and source."""
+    tag = lambda k: F.element_at(F.array(F.lit("h1"), F.lit(None).cast("string"), F.lit("b"), F.lit("h3")), (k % 4 + 1).cast("int"))
+    elems = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, k: F.struct(tag(k).alias("tag"), x.alias("text")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"), F.concat_ws(" ", "lang", "source").alias("title"), elems.alias("elems"))
+
+
+def doc_element_offsets(spark, sf_dir):
+    got = documents.element_offsets(_elements(spark, sf_dir), PLAIN)
+    return got.select("page_id", F.col("elem").cast("long").alias("elem"), "tag", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"))
+
+
+def doc_tag_extents(spark, sf_dir):
+    got = documents.extents(_elements(spark, sf_dir), PLAIN).select("page_id", F.explode("extents").alias("tag", "ranges"))
+    return got.select("page_id", "tag", F.explode("ranges").alias("r")).select("page_id", "tag", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
+
+
+def weighted_postings(spark, sf_dir):
+    """Unigram postings of titles and bodies: title positions negative and first, frequencies weighted by tag."""
+    d = documents.analyse(_elements(spark, sf_dir), PLAIN).withColumn("doc_id", F.col("page_id"))
+    got = index.postings(index.occurrences(d, 1, PLAIN), PLAIN)
+    return got.select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "wtf")
+
+
+def dense_numbers(spark, sf_dir):
+    return documents.dense_ids(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id")), "page_id")
+
+
+def low_value_docs(spark, sf_dir):
+    """The low-value rule on documents; the number of tags is taken from the number of characters."""
+    d = _doc_stats(spark, sf_dir).withColumn("doc_id", F.substring_index("url", ":", -1).cast("long"))
+    tags = F.pmod(F.col("doc_id"), F.lit(500))
+    return d.select("doc_id", crawl.low_value(tags, F.col("n_tokens")).alias("low_value"))
+
+
+def unique_urls(spark, sf_dir):
+    return crawl.report(table(spark, sf_dir, "pages").select("url", F.lit(0).alias("n_tokens"), F.array().cast("array<string>").alias("tokens")))["unique"]
+
+
 def search_pages(spark, sf_dir):
     ix = index.build(documents.build(table(spark, sf_dir, "pages")), positions=False)
     return search.search(ix, _queries(spark, sf_dir)).select("query_id", "rank", "doc_id", "title", "url", "score")
@@ -376,7 +425,7 @@ def queries() -> dict:
         phrase_bonus, relaxed_search, stopword_only_flags, split_query, simhash, near_dup_pairs, near_dup_classes, lowest_first_dedup, dedup_first_url, url_defrag, url_canonical, url_hash, url_validity,
         bad_extension_filter, path_repeat_trap, trap_patterns, blacklist_antijoin, host_counts, page_titles, outlinks, outlink_count, low_value_pages, html_elements, element_offsets,
         tag_extents, cleaned_text, extraction_errors, crawl_token_counts, top50_tokens, longest_pages, frontier_new_urls, frontier_totals, frontier_pop, frontier_complete, frontier_cancel, fetch_status, robots_allow,
-        referrer_similarity, previous_similarity, query_trap_states, crawl_frontier, stemmed_index, posting_lines, search_pages,
+        referrer_similarity, previous_similarity, query_trap_states, crawl_frontier, stemmed_index, posting_lines, posting_decode, doc_element_offsets, doc_tag_extents, weighted_postings, dense_numbers, low_value_docs, unique_urls, search_pages,
     ]
     return {f.__name__: f for f in own}
 
@@ -424,6 +473,19 @@ _HEX = "(('0x' || substr(md5(token), {}, 8))::bigint)"
 _CRAWL_TOK = "ct as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '([a-zA-Z''-]{{2,}})', 1), lambda x: x not in ({})) as toks from documents)"
 
 
+_TOKENS_OF = "list_filter(flatten(list_transform(regexp_extract_all(lower({}), '([a-z0-9'']+)', 1), lambda x: string_split(x, ''''))), lambda x: x <> '')"
+_EL = f"""el as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as elem from documents),
+ et as (select doc_id, elem, case elem % 4 when 0 then 'h1' when 2 then 'b' when 3 then 'h3' end as tag, {_TOKENS_OF.format('line')} as toks from el),
+ es as (select *, coalesce(sum(size) over (partition by doc_id order by elem rows between unbounded preceding and 1 preceding), 0)::bigint as start from
+  (select *, (case when len(toks) > 0 then length(array_to_string(toks, ' ')) + 1 else 0 end)::bigint as size from et))"""
+_WEIGHTED = f"""{_EL}, bt as (select doc_id, elem, tag, unnest(toks) as term, generate_subscripts(toks, 1) as i from et),
+ bp as (select *, coalesce(sum(length(term) + 1) over (partition by doc_id order by elem, i rows between unbounded preceding and 1 preceding), 0)::bigint as pos from bt),
+ ti as (select doc_id, {_TOKENS_OF.format("concat_ws(' ', lang, source)")} as toks from documents where doc_id in (select doc_id from bt)),
+ tt as (select doc_id, unnest(toks) as term, generate_subscripts(toks, 1) as i from ti),
+ tp as (select *, coalesce(sum(length(term) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as pos from tt),
+ oc as (select doc_id, term, 1 as body, pos as spot, pos as p, (case tag when 'h1' then 5 when 'h3' then 2 when 'b' then 1.2 else 1 end)::double as w from bp union all select doc_id, term, 0, pos, -(pos + 1), 25 from tp)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from loomdex.config import CRAWL_STOP_WORDS
 
@@ -433,6 +495,8 @@ def oracle_sql() -> dict[str, str]:
     fps = f"s as (select doc_id, {bits('h', 1)}, {bits('l', 9)} from tf group by doc_id), fp as (select doc_id, {fold('h')} as fp_hi, {fold('l')} as fp_lo from s)"
     trap_url = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') || case when starts_with(url, 'https') then '/a/b/a/b/a/b/a/b/c' else '/a/b' end"
     bigrams = f"{_POS}, bg as (select doc_id, token || ' ' || nxt as bigram, idx, pos from tp where nxt is not null)"
+    posted = f"""{bigrams}, nd as (select count(*)::double as n from w where len(toks) > 0), bf as (select doc_id, bigram as term, count(*) as f, string_agg(pos::varchar, ',' order by idx) as positions from bg group by 1, 2),
+ bd as (select term, count(*) as df from bf group by 1), bs as (select doc_id, term, positions, round((1 + log10(f::double)) * log10(nd.n / df), 4) as score from bf join bd using (term) cross join nd)"""
     title = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
     return {
         "token_stats": f"with {_TOK} select token, sum(tf)::bigint as n, count(*) as df from tf group by 1",
@@ -484,6 +548,15 @@ def oracle_sql() -> dict[str, str]:
         "frontier_pop": f"with {_FRONT} select url_hash, url, seq from f where not completed order by seq desc, url_hash limit 10",
         "frontier_complete": f"with {_FRONT}, p as (select url_hash from f where not completed order by seq desc, url_hash limit 10) select url_hash, completed or url_hash in (select url_hash from p) as completed from f",
         "frontier_cancel": f"with {_FRONT} select url_hash, completed from f where completed or not regexp_matches(url, '^https?://m\\.')",
+        "posting_decode": f"with {posted} select term, doc_id, positions, score from bs",
+        "posting_lines": f"""with {posted}, bl as (select term, doc_id, '[' || doc_id || ',[' || positions || '],' || case when score > 0 and score < 0.001 then (score * 10000)::int || '.0E-4' else score::varchar end || ']' as body from bs)
+ select term, term || ':' || string_agg('[' || length(body) || ']' || body, '' order by doc_id) as line from bl group by 1""",
+        "doc_element_offsets": f"with {_EL} select doc_id as page_id, elem, tag, start, size from es",
+        "doc_tag_extents": f"with {_EL} select doc_id as page_id, tag, start, start + size - 1 as \"end\" from es where tag is not null and size > 0",
+        "weighted_postings": f"with {_WEIGHTED} select term, doc_id, string_agg(p::varchar, ',' order by body, spot) as positions, round(sum(w), 6) as wtf from oc group by 1, 2",
+        "dense_numbers": "select doc_id as page_id, row_number() over (order by doc_id) - 1 as doc_id from documents",
+        "low_value_docs": f"{ct} select doc_id, case when doc_id % 500 > 3 then len(toks)::double / (doc_id % 500) < 0.5 and len(toks) < 150 else len(toks) < 150 end as low_value from ct",
+        "unique_urls": "select count(distinct url) as n from pages",
         "fetch_status": "select url, case when contains(url, '#') then 404 else 200 end::bigint as status from pages",
         "robots_allow": f"select page_id, case {_U['netloc']} when 'therha.example.net' then false when 'tionsh.example.net' then not regexp_matches({_U['path']}, '^/de') or regexp_matches({_U['path']}, '^/de/1') else true end as allowed from pages",
     }
