@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored
 
-__all__ = ["discard", "distinct_name", "hadoop_path", "keep_rows", "pick", "scratch_path", "ship", "size_of", "stored", "text_blocks", "utf8"]
+__all__ = ["discard", "distinct_name", "hadoop_path", "keep_rows", "pick", "plain_names", "scratch_path", "ship", "size_of", "stored", "text_blocks", "utf8"]
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
 BLOCK_BYTES = 4 << 20
@@ -42,6 +42,11 @@ def keep_rows(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) ->
     return out if copies.isEmpty() else out.dropDuplicates([id_col, text_col])
 
 
+def plain_names(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """(df under names of its own, the name of one of its columns there): Python maps over rows don't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), f"c{df.columns.index(column)}"
+
+
 def size_of(df: DataFrame, *columns: str) -> tuple[int, int]:
     """(rows, characters in the string columns) of a table: what a broadcast is checked against."""
     n = [F.sum(F.length(c)) for c in columns] or [F.lit(0)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import distinct_name, pick, ship, size_of, text_blocks, utf8
+from loomdex.llm.common import distinct_name, pick, plain_names, ship, size_of, text_blocks, utf8
 from loomdex.llm.words import ALNUM, Words, words_of
 
 #: Characters of benchmark text that one pass over the documents searches for; beyond it the benchmark is taken in blocks.
@@ -181,8 +181,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     ship(spark)
     bench = pick(benchmark, item=item_col, body=item_text_col).where("item is not null and body is not null").withColumn("item", F.col("item").cast("string"))
     blocks = max(1, -(-size_of(bench, "body")[1] // PASS_CHARS))
-    n, runs, items = (distinct_name(docs, c) for c in ("n_words", "hit_runs", "items"))
-    out = docs.select("*", F.lit(0).alias(n), F.array().cast(_FOUND).alias(runs), F.array().cast("array<string>").alias(items))
+    rows, text = plain_names(docs, text_col)
+    out = rows.select("*", F.lit(0).alias("n_words"), F.array().cast(_FOUND).alias("hit_runs"), F.array().cast("array<string>").alias("items"))
     for k in range(blocks):
         rows = [(r.item, r.body) for r in bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).toLocalIterator()]
         parts = []
@@ -192,8 +192,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             blob = w.data.tobytes()
             parts = [(rows[d][0], [blob[w.start[j] : w.end[j]] for j in range(w.first[d], w.first[d + 1])]) for d in range(len(rows))]
         sent = spark.sparkContext.broadcast(pattern_classes(parts, width))
-        out = _search_pass(out, sent, text_col, n, runs, items)
-    return out
+        out = _search_pass(out, sent, text, "n_words", "hit_runs", "items")
+    return out.toDF(*docs.columns, *[distinct_name(docs, c) for c in ("n_words", "hit_runs", "items")])
 
 
 def _search_pass(docs: DataFrame, sent, text_col: str, n: str, runs: str, items: str) -> DataFrame:

@@ -16,7 +16,7 @@ from loomdex.llm.words import SPACED, words_of
 LEAST = 0.8
 #: Rows (about; a hash of the text chooses them) that frequent shingles are told by, rows of those that a frequent one has, and how many are kept.
 SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
-#: Members up to which a list's pairs are all compared in any round, and up to which a list is one task's.
+#: Members up to which lists are compared many at once, and up to which a list is one task's.
 SHORT, TILE = 16, 4_096
 #: One in so many lists, chosen by a hash, is taken by the first rounds.
 SOME = 4
@@ -139,8 +139,8 @@ def _groups(batches, columns: list[str]):
 def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
     """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes and parities don't rule out.
 
-    mode: `first` compares a long list's first member by size, and the first beyond the sizes it can be like, with those after; `nearest`
-    gives each member's most likely partner; `all` gives all pairs. Up to SHORT members all pairs are given in any mode. A list of over TILE
+    mode: `first` compares a list's first member by size, and in a long one the first beyond the sizes it can be like, with those after;
+    `nearest` gives each member's most likely partner, in lists of up to SHORT members the next one by size; `all` gives all pairs. A list of over TILE
     members is dealt to tiles: by a hash for the first two modes, by pairs of blocks for `all`. Comparing stays in the task.
     """
     rows = lists.join(sketches, "node")
@@ -178,7 +178,8 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             for m in range(2, SHORT + 1):
                 at = cut[(size == m) & mixed]
                 if len(at):
-                    p, q = np.triu_indices(m, 1)
+                    # by size: the first with all others, neighbours, or all
+                    p, q = {"first": (np.zeros(m - 1, int), np.arange(1, m)), "nearest": (np.arange(m - 1), np.arange(1, m)), "all": np.triu_indices(m, 1)}[mode]
                     i, j = (at[:, None] + p).ravel(), (at[:, None] + q).ravel()
                     ok = fits(words, n, root, i, j)[0] & ((x[i] == y[i]) | (own[i] != own[j]))
                     a.append(i[ok])
@@ -271,7 +272,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """One row of docs of each component: links are five-word Jaccard similarities of `least` or more, and op4's (three words, two bits).
 
     Equal sets are one node. A set's prefix, under an order with frequent shingles last, meets the prefix of every set that is alike in some list (a shingle's
-    sets), so no link is missed. Rounds join most of what belongs together: over some of the lists a long one's first member with the others, then each
+    sets), so no link is missed. Rounds join most of what belongs together: over some of the lists the first member with the others, then each
     member with its most likely partner of another component, and so again over all lists. Last, all pairs of all lists whose members are
     still apart are compared: after the rounds these are few. The row that stays has the smallest doc_id. Columns are those of docs.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import distinct_name, pick, ship, stored, text_blocks
+from loomdex.llm.common import distinct_name, pick, plain_names, ship, stored, text_blocks
 
 #: The sample a model is fitted on: labelled documents per language (about; a hash of the id chooses them), and languages, those with most documents.
 FIT_DOCS = 2_000
@@ -189,14 +189,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [distinct_name(docs, lang_name), distinct_name(docs, score_name)]
+    rows, text = plain_names(docs, text_col)
 
     def each(batches):
         for batch in batches:
-            for part in text_blocks(batch, text_col):
-                lang, score = sent.value.predict(part.column(text_col))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, *names])
+            for part in text_blocks(batch, text):
+                lang, score = sent.value.predict(part.column(text))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang", "score"])
 
-    return docs.mapInArrow(each, T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
+    return rows.mapInArrow(each, T.StructType([*rows.schema, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])).toDF(*docs.columns, *names)
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
