@@ -18,6 +18,8 @@ LEAST = 0.8
 SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
 #: Members up to which lists are compared many at once, and up to which a list is one task's.
 SHORT, TILE = 16, 4_096
+#: Shingles beyond which parities tell unlike sets apart badly, so that tallies go to the lists' tasks as well.
+LONG = 512
 #: One in so many lists, chosen by a hash, is taken by the first rounds.
 SOME = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,6 +69,12 @@ def parity(x: np.ndarray) -> bytes:
     return np.packbits((np.bincount(((x >> np.uint64(8)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
+def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs of rows of tallies, of sets with n shingles together, can have the similarity."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    return ((x & y) == 255).any(1) | (most >= least * (n - most) - 1e-9)
+
+
 def _often(rows: DataFrame) -> np.ndarray:
     """Shingles frequent in a sample. They come last in the order, which any choice leaves valid: it only keeps lists short."""
     n = rows.count()
@@ -137,7 +145,7 @@ def _groups(batches, columns: list[str]):
 
 
 def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
-    """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes and parities don't rule out.
+    """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes, parities and tallies of long sets don't rule out.
 
     mode: `first` compares a list's first member by size, and in a long one the first beyond the sizes it can be like, with those after;
     `nearest` gives each member's most likely partner, in lists of up to SHORT members the next one by size; `all` gives all pairs. A list of over TILE
@@ -152,7 +160,7 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     else:
         rows = rows.withColumns({"x": F.col("own"), "y": F.col("own")})
-    rows = rows.select("h", "x", "y", "own", "node", "n", "bits", "root")
+    rows = rows.select("h", "x", "y", "own", "node", "n", "bits", "tally", "root")
     slack = (1 - least) / (1 + least)
 
     def fits(words, n, root, i, j):
@@ -170,6 +178,10 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             n = n.astype(float)
             order = np.lexsort((node, n, y, x, h))
             h, x, y, own, node, n, root, words = (z[order] for z in (h, x, y, own, node, n, root, words))
+            told = t.column("tally").to_pylist()
+            told = [told[k] for k in order.tolist()]
+            long = np.array([len(z) > 0 for z in told])
+            place, told = np.cumsum(long) - 1, np.frombuffer(b"".join(told), np.uint8).reshape(-1, 256)
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             cut = np.flatnonzero(new)
             size = np.diff(np.append(cut, len(h)))
@@ -209,7 +221,13 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
                         has = ok[np.arange(len(i)), best]
                         a.append(i[has])
                         b.append(every[best[has]])
-            a, b = (node[np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64)] for z in (a, b))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *z]).astype(np.int64) for z in (a, b))
+            ok = np.ones(len(a), bool)
+            both = np.flatnonzero(long[a] & long[b])
+            for k in range(0, len(both), 4_096):
+                p = both[k : k + 4_096]
+                ok[p] = alike(told[place[a[p]]], told[place[b[p]]], n[a[p]] + n[b[p]], least)
+            a, b = node[a[ok]], node[b[ok]]
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
@@ -245,9 +263,7 @@ class Verifier:
         def bounded(batches):
             for batch in batches:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
-                most = np.minimum(x, y).sum(1, dtype=np.int64)
-                ok = ((x & y) == 255).any(1) | (most >= least * (np.asarray(batch.column("n")) - most) - 1e-9)
-                yield batch.select(["a", "b"]).filter(pa.array(ok))
+                yield batch.select(["a", "b"]).filter(pa.array(alike(x, y, np.asarray(batch.column("n")), least)))
 
         def exact(batches):
             for batch in batches:
@@ -290,7 +306,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = stored(near.unionByName(same), "found")
     root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
     for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
-        pairs = stored(_candidates(taken, known.select("node", "n", "bits"), root, least, mode), "candidates")
+        pairs = stored(_candidates(taken, known.select("node", "n", "bits", F.when(F.col("n") > LONG, F.col("tally")).otherwise(F.lit(b"")).alias("tally")), root, least, mode), "candidates")
         if not pairs.isEmpty():
             found = found.unionByName(verify(pairs))
             root, before = stored(components(found), "roots"), root
