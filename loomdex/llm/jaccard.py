@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
 SHORT, TILE = 16, 4_096
 #: Shingles beyond which parities tell unlike sets apart badly, so that tallies go to the lists' tasks as well.
 LONG = 512
+#: First shingles of a prefix that tell a pair's first list: of any set, and of a set of over LONG shingles.
+HEAD, LONG_HEAD = 8, 64
 #: One in so many lists, chosen by a hash, is taken by the first rounds.
 SOME = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -144,23 +147,39 @@ def _groups(batches, columns: list[str]):
         yield rest
 
 
+def earlier(head: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the sets a and b, rows of head (sorted, filled up with the largest value), share a shingle of both heads below h.
+
+    A head holds a prefix's smallest shingles, so such a pair meets in the list of the smallest one that both heads have, and in that one only does
+    this say no. Heads without a common shingle say no in every list.
+    """
+    out, top = np.zeros(len(a), bool), np.iinfo(np.int64).max
+    for k in range(0, len(a), 8_192):
+        both = np.sort(np.concatenate([head[a[k : k + 8_192]], head[b[k : k + 8_192]]], axis=1), axis=1)
+        out[k : k + 8_192] = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < h[k : k + 8_192, None]) & (both[:, 1:] != top)).any(1)
+    return out
+
+
 def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
     """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes, parities and tallies of long sets don't rule out.
 
+    Lists whose members have one root go first, by narrow rows. With `all`, a pair is made in the first list that the heads of both tell.
+
     mode: `first` compares a list's first member by size, and in a long one the first beyond the sizes it can be like, with those after;
     `nearest` gives each member's most likely partner, in lists of up to SHORT members the next one by size; `all` gives all pairs. A list of over TILE
     members is dealt to tiles: by a hash for the first two modes, by pairs of blocks for `all`. Comparing stays in the task.
     """
-    rows = lists.join(sketches, "node")
-    rows = rows.withColumn("root", F.col("node")) if root is None else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = stored(lists.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE).select("h", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "long-lists")
-    rows = rows.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes.hint("merge"), "h", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = lists.withColumn("root", F.col("node")) if root is None else lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows.select("h", "node", "root"), "rooted")
+    apart = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    apart = stored(apart.select("h", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "apart-lists")
+    rows = rows.join(F.broadcast(apart) if apart.count() <= 100_000 else apart.hint("merge"), "h").join(sketches, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     if mode == "all":
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     else:
         rows = rows.withColumns({"x": F.col("own"), "y": F.col("own")})
-    rows = rows.select("h", "x", "y", "own", "node", "n", "bits", "tally", "root")
+    rows = rows.select("h", "x", "y", "own", "node", "n", "bits", "tally", "head", "root")
     slack = (1 - least) / (1 + least)
 
     def fits(words, n, root, i, j):
@@ -182,6 +201,10 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             told = [told[k] for k in order.tolist()]
             long = np.array([len(z) > 0 for z in told])
             place, told = np.cumsum(long) - 1, np.frombuffer(b"".join(told), np.uint8).reshape(-1, 256)
+            heads = t.column("head").combine_chunks().take(pa.array(order))
+            width = np.asarray(pc.list_value_length(heads), np.int64)
+            head = np.full((len(heads), int(width.max())), np.iinfo(np.int64).max)
+            head[np.arange(head.shape[1]) < width[:, None]] = np.asarray(heads.flatten())
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
             cut = np.flatnonzero(new)
             size = np.diff(np.append(cut, len(h)))
@@ -227,7 +250,11 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             for k in range(0, len(both), 4_096):
                 p = both[k : k + 4_096]
                 ok[p] = alike(told[place[a[p]]], told[place[b[p]]], n[a[p]] + n[b[p]], least)
-            a, b = node[a[ok]], node[b[ok]]
+            a, b = a[ok], b[ok]
+            if mode == "all":
+                ok = ~earlier(head, a, b, h[a])
+                a, b = a[ok], b[ok]
+            a, b = node[a], node[b]
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
@@ -296,9 +323,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     marks = stored(marked(rows, least), "marks")
     nodes = marks.dropDuplicates(["node"])
-    known = stored(nodes.select("node", "n", "tally", "bits"), "sketches")
+    known = stored(nodes.select("node", "n", "tally", "bits", F.slice(F.sort_array("prefix"), 1, F.when(F.col("n") > LONG, LONG_HEAD).otherwise(HEAD)).alias("head")), "sketches")
     lists = stored(nodes.select(F.explode("prefix").alias("h"), "node").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long"), "lists")
     some = lists.where(F.pmod(F.xxhash64("h"), F.lit(SOME)) == 0)
+    long = F.col("n") > LONG
+    sketches = lambda mode: known.select("node", "n", "bits", F.when(long, F.col("tally")).otherwise(F.lit(b"")).alias("tally"), F.col("head") if mode == "all" else F.array().cast("array<long>").alias("head"))
     by_fp = stored(marks.groupBy("fp").agg(F.min("node").alias("rep")), "reps")
     rep = lambda c: by_fp.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep"))
     near = links(by_fp.select("fp")).join(rep("a"), "a").join(rep("b"), "b").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
@@ -306,7 +335,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = stored(near.unionByName(same), "found")
     root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
     for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
-        pairs = stored(_candidates(taken, known.select("node", "n", "bits", F.when(F.col("n") > LONG, F.col("tally")).otherwise(F.lit(b"")).alias("tally")), root, least, mode), "candidates")
+        pairs = stored(_candidates(taken, sketches(mode), root, least, mode), "candidates")
         if not pairs.isEmpty():
             found = found.unionByName(verify(pairs))
             root, before = stored(components(found), "roots"), root
