@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import discard, keep_rows, pick, ship, stored, text_blocks, utf8
+from loomdex.llm.common import discard, keep_rows, pick, ship, stored, text_blocks, trimmed, utf8
 from loomdex.llm.components import components
 from loomdex.llm.simhash import fold, links, shingle_hashes
 from loomdex.llm.words import SPACED, words_of
@@ -110,7 +110,7 @@ def marked(rows: DataFrame, least: float) -> DataFrame:
             node = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fold(h, first).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([tally(x) for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.binary()), _lists(head)], names=["doc_id", "mark", "fp", "node", "n", "tally", "bits", "prefix"])
 
-    return rows.mapInArrow(each, "doc_id long, mark long, fp long, node long, n int, tally binary, bits binary, prefix array<long>")
+    return rows.mapInArrow(trimmed(each), "doc_id long, mark long, fp long, node long, n int, tally binary, bits binary, prefix array<long>")
 
 
 def _shared(batches):
@@ -259,7 +259,7 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return dealt.mapInArrow(each, "a long, b long").distinct()
+    return dealt.mapInArrow(trimmed(each), "a long, b long").distinct()
 
 
 class Verifier:
@@ -281,7 +281,7 @@ class Verifier:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([_digest(x) for x in s], np.uint64).view(np.int64)), _lists(s)], names=["node", "s"])
 
         on = [self.rows[c].eqNullSafe(first[c]) for c in ("mark", "doc_id")]
-        found = stored(self.rows.join(first, on, "left_semi").select("text").mapInArrow(sets, "node long, s array<long>").dropDuplicates(["node"]), "sets")
+        found = stored(self.rows.join(first, on, "left_semi").select("text").mapInArrow(trimmed(sets), "node long, s array<long>").dropDuplicates(["node"]), "sets")
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -308,7 +308,17 @@ class Verifier:
         left = stored(both.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(bounded, "a long, b long"), "bounded")
         self._read(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda c, s: self.sets.select(F.col("node").alias(c), F.col("s").alias(s))
-        return stored(left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "found")
+        return stored(left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(exact), "a long, b long"), "found")
+
+
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """root(node, root) after more links(a, b): only the components that links join are contracted, not all links anew."""
+    top = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    up = links.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    over = components(up).withColumnRenamed("root", "over")
+    moved = root.join(over.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    new = over.join(root, "node", "left_anti").select("node", F.col("over").alias("root"))
+    return stored(moved.unionByName(new), "roots")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -337,8 +347,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
         pairs = stored(_candidates(taken, sketches(mode), root, least, mode), "candidates")
         if not pairs.isEmpty():
-            found = found.unionByName(verify(pairs))
-            root, before = stored(components(found), "roots"), root
+            root, before = _joined(root, verify(pairs)), root
             discard(before)
         discard(pairs)
     placed = marks.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

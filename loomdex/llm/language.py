@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomdex.llm.common import distinct_name, pick, plain_names, ship, stored, text_blocks
+from loomdex.llm.common import distinct_name, pick, plain_names, ship, stored, text_blocks, trimmed
 
 #: The sample a model is fitted on: labelled documents per language (about; a hash of the id chooses them), and languages, those with most documents.
 FIT_DOCS = 2_000
@@ -197,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
                 lang, score = sent.value.predict(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang", "score"])
 
-    return rows.mapInArrow(each, T.StructType([*rows.schema, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])).toDF(*docs.columns, *names)
+    return rows.mapInArrow(trimmed(each), T.StructType([*rows.schema, T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])).toDF(*docs.columns, *names)
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:

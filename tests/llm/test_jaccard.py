@@ -4,8 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 
 from loomdex.llm import jaccard, simhash
+from loomdex.llm.components import components
 from tests.llm.test_operators import DOC, brute_fp, groups
 
 
@@ -51,3 +53,30 @@ def test_rows_without_an_id_of_their_own(spark):
     docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC)
     got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "").collect()]
     assert sorted(got, key=str) == sorted({*rows[:2], *rows[3:6]}, key=str)
+
+
+def test_first_list_of_a_pair():
+    """Pairs whose heads share a shingle are made in one list, others in every list that both are in."""
+    rng = random.Random(3)
+    top = np.iinfo(np.int64).max
+    for _ in range(300):
+        a, b = (sorted(rng.sample(range(-20, 20), rng.randrange(1, 25))) for _ in range(2))
+        k = [rng.choice([2, 5]) for _ in range(2)]
+        head = np.full((2, 5), top)
+        for r, x in enumerate((a, b)):
+            head[r, : min(k[r], len(x))] = x[: k[r]]
+        shared = sorted(set(a) & set(b))
+        if not shared:
+            continue
+        no = ~jaccard.earlier(head, np.zeros(len(shared), int), np.ones(len(shared), int), np.array(shared))
+        both = set(a[: k[0]]) & set(b[: k[1]])
+        assert [h for h, ok in zip(shared, no, strict=True) if ok] == ([min(both)] if both else shared)
+
+
+def test_links_join_components(spark):
+    link = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    first, later = [(1, 2), (3, 4), (5, 6)], [(2, 3), (9, 10), (4, 9), (11, 5)]
+    got = jaccard._joined(components(link(first)), link(later)).collect()
+    roots = groups(first + later, range(1, 12))
+    assert sorted(r.node for r in got) == [1, 2, 3, 4, 5, 6, 9, 10, 11]
+    assert all((a.root == b.root) == (roots[a.node] == roots[b.node]) for a in got for b in got)
