@@ -114,7 +114,7 @@ def marked(rows: DataFrame, least: float) -> DataFrame:
 
 
 def _shared(batches):
-    """The rows (h, node), which come in the order of h, of the h that have two rows or more. One row is held at most."""
+    """The rows (h, node, n), which come in the order of h, of the h that have two rows or more. One row is held at most."""
     held, told = None, False  # the last row, and whether its h had others before
     for batch in batches:
         if not batch.num_rows:
@@ -161,19 +161,20 @@ def earlier(head: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np
 
 
 def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
-    """Distinct pairs (a, b) of members of a list(h, node) whose roots differ and that sizes, parities and tallies of long sets don't rule out.
+    """Distinct pairs (a, b) of members of a list(h, node, n) whose roots differ and that sizes, parities and tallies of long sets don't rule out.
 
-    Lists whose members have one root go first, by narrow rows. With `all`, a pair is made in the first list that the heads of both tell.
+    Lists whose members have one root, and lists of two that sizes rule out, go first, by narrow rows. With `all`, a pair is made in the first list that the heads of both tell.
 
     mode: `first` compares a list's first member by size, and in a long one the first beyond the sizes it can be like, with those after;
     `nearest` gives each member's most likely partner, in lists of up to SHORT members the next one by size; `all` gives all pairs. A list of over TILE
     members is dealt to tiles: by a hash for the first two modes, by pairs of blocks for `all`. Comparing stays in the task.
     """
     rows = lists.withColumn("root", F.col("node")) if root is None else lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(rows.select("h", "node", "root"), "rooted")
-    apart = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    rooted = stored(rows.select("h", "node", "n", "root"), "rooted")
+    told = [F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("few"), F.max("n").alias("many")]
+    apart = rooted.groupBy("h").agg(*told).where("x <> y").where((F.col("m") > 2) | (F.col("few") >= least * F.col("many") - 1e-9))
     apart = stored(apart.select("h", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "apart-lists")
-    rows = rows.join(F.broadcast(apart) if apart.count() <= 100_000 else apart.hint("merge"), "h").join(sketches, "node")
+    rows = rooted.drop("n").join(F.broadcast(apart) if apart.count() <= 100_000 else apart.hint("merge"), "h").join(sketches, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     if mode == "all":
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
@@ -259,7 +260,9 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return dealt.mapInArrow(trimmed(each), "a long, b long").distinct()
+    pairs = stored(dealt.mapInArrow(trimmed(each), "a long, b long").distinct(), "candidates")
+    discard(rooted, apart)
+    return pairs
 
 
 class Verifier:
@@ -334,7 +337,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     marks = stored(marked(rows, least), "marks")
     nodes = marks.dropDuplicates(["node"])
     known = stored(nodes.select("node", "n", "tally", "bits", F.slice(F.sort_array("prefix"), 1, F.when(F.col("n") > LONG, LONG_HEAD).otherwise(HEAD)).alias("head")), "sketches")
-    lists = stored(nodes.select(F.explode("prefix").alias("h"), "node").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long"), "lists")
+    lists = stored(nodes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long, n int"), "lists")
     some = lists.where(F.pmod(F.xxhash64("h"), F.lit(SOME)) == 0)
     long = F.col("n") > LONG
     sketches = lambda mode: known.select("node", "n", "bits", F.when(long, F.col("tally")).otherwise(F.lit(b"")).alias("tally"), F.col("head") if mode == "all" else F.array().cast("array<long>").alias("head"))
@@ -345,7 +348,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = stored(near.unionByName(same), "found")
     root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
     for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
-        pairs = stored(_candidates(taken, sketches(mode), root, least, mode), "candidates")
+        pairs = _candidates(taken, sketches(mode), root, least, mode)
         if not pairs.isEmpty():
             root, before = _joined(root, verify(pairs)), root
             discard(before)
