@@ -21,6 +21,8 @@ SAMPLE_ROWS, OFTEN, MOST_OFTEN = 8_192, 3, 65_536
 SHORT, TILE = 16, 4_096
 #: Shingles beyond which parities tell unlike sets apart badly, so that tallies go to the lists' tasks as well.
 LONG = 512
+#: Shingles beyond which 256 counts tell unlike sets apart badly, so that a set has more of them, 8 shingles to one at most.
+FINE = 2_048
 #: First shingles of a prefix that tell a pair's first list: of any set, and of a set of over LONG shingles.
 HEAD, LONG_HEAD = 8, 64
 #: One in so many lists, chosen by a hash, is taken by the first rounds.
@@ -72,6 +74,24 @@ def parity(x: np.ndarray) -> bytes:
     return np.packbits((np.bincount(((x >> np.uint64(8)) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
 
 
+def fine_tally(x: np.ndarray) -> bytes:
+    """A set's counts as tally has them, over a power of two of values that follows its size; none up to FINE shingles."""
+    if len(x) <= FINE:
+        return b""
+    values = 256 << (-(-len(x) // FINE) - 1).bit_length()
+    return np.minimum(np.bincount((x & np.uint64(values - 1)).astype(np.int64), minlength=values), 255).astype(np.uint8).tobytes()
+
+
+def finely_alike(x: bytes, y: bytes, n: int, least: float) -> bool:
+    """Whether two sets of n shingles together can have the similarity, by their fine tallies: the longer one is folded to the shorter."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    if not size or max(p.max(), q.max()) == 255:
+        return True
+    most = int(np.minimum(p.reshape(-1, size).sum(0, dtype=np.int64), q.reshape(-1, size).sum(0, dtype=np.int64)).sum())
+    return most >= least * (n - most) - 1e-9
+
+
 def alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     """Whether pairs of rows of tallies, of sets with n shingles together, can have the similarity."""
     most = np.minimum(x, y).sum(1, dtype=np.int64)
@@ -94,7 +114,7 @@ def _often(rows: DataFrame) -> np.ndarray:
 
 
 def marked(rows: DataFrame, least: float) -> DataFrame:
-    """(doc_id, mark, fp, node, n, tally, bits, prefix) per row of rows(doc_id, mark, text): SimHash of three words, digest, size, tally and parities of the set, its prefix."""
+    """(doc_id, mark, fp, node, n, tally, fine, bits, prefix) per row of rows(doc_id, mark, text): SimHash of three words, digest, size, tallies and parities of the set, its prefix."""
     sent = rows.sparkSession.sparkContext.broadcast(_often(rows))
 
     def each(batches):
@@ -108,9 +128,9 @@ def marked(rows: DataFrame, least: float) -> DataFrame:
                 rare = x[~late][:k]
                 head.append(rare if len(rare) == k else np.concatenate([rare, x[late][: k - len(rare)]]))
             node = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fold(h, first).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([tally(x) for x in sets], pa.binary()), pa.array([parity(x) for x in sets], pa.binary()), _lists(head)], names=["doc_id", "mark", "fp", "node", "n", "tally", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fold(h, first).view(np.int64)), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), *(pa.array([f(x) for x in sets], pa.binary()) for f in (tally, fine_tally, parity)), _lists(head)], names=["doc_id", "mark", "fp", "node", "n", "tally", "fine", "bits", "prefix"])
 
-    return rows.mapInArrow(trimmed(each), "doc_id long, mark long, fp long, node long, n int, tally binary, bits binary, prefix array<long>")
+    return rows.mapInArrow(trimmed(each), "doc_id long, mark long, fp long, node long, n int, tally binary, fine binary, bits binary, prefix array<long>")
 
 
 def _shared(batches):
@@ -131,6 +151,21 @@ def _shared(batches):
         yield batch.filter(pa.array(keep))
 
 
+def partnered(h: np.ndarray, n: np.ndarray, root: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows in the order of (h, n) have another of their h, of another root, whose size lets the two be alike. The first and last run of one h and root may go on elsewhere: yes.
+
+    Of the members of other roots, those next to a row's run of one root are nearest in size.
+    """
+    cut = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (root[1:] != root[:-1])]))
+    size = np.diff(np.append(cut, len(h)))
+    before, after = np.repeat(cut - 1, size), np.repeat(cut + size, size)
+    out = (before < 0) | (after == len(h))
+    for side in (before, np.minimum(after, len(h) - 1)):
+        few, many = np.minimum(n, n[side]), np.maximum(n, n[side])
+        out |= (h == h[side]) & (root != root[side]) & (few >= least * many - 1e-9)
+    return out
+
+
 def _groups(batches, columns: list[str]):
     """Tables of whole groups from rows that come in the order of the columns."""
     rest = None
@@ -160,21 +195,26 @@ def earlier(head: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np
     return out
 
 
-def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
-    """Distinct pairs (a, b) of members of a list(h, node, n) whose roots differ and that sizes, parities and tallies of long sets don't rule out.
+def _candidates(lists: DataFrame, big: DataFrame, sketches: DataFrame, root: DataFrame | None, least: float, mode: str) -> DataFrame:
+    """Distinct pairs (a, b) of members of a list(h, node, n) whose roots differ and that sizes, parities and tallies of long sets don't rule out. big(h, tiles): lists of over TILE members.
 
-    Lists whose members have one root, and lists of two that sizes rule out, go first, by narrow rows. With `all`, a pair is made in the first list that the heads of both tell.
+    Members whom sizes and roots leave without a partner in their list go first, by narrow rows. With `all`, a pair is made in the first list that the heads of both tell.
 
     mode: `first` compares a list's first member by size, and in a long one the first beyond the sizes it can be like, with those after;
     `nearest` gives each member's most likely partner, in lists of up to SHORT members the next one by size; `all` gives all pairs. A list of over TILE
     members is dealt to tiles: by a hash for the first two modes, by pairs of blocks for `all`. Comparing stays in the task.
     """
+
+    def useful(batches):
+        for batch in batches:
+            if batch.num_rows:
+                h, n, root = (np.asarray(batch.column(c)) for c in ("h", "n", "root"))
+                yield batch.filter(pa.array(partnered(h, n.astype(float), root, least))).select(["h", "node", "root"])
+
     rows = lists.withColumn("root", F.col("node")) if root is None else lists.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rows.select("h", "node", "n", "root"), "rooted")
-    told = [F.count(F.lit(1)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("few"), F.max("n").alias("many")]
-    apart = rooted.groupBy("h").agg(*told).where("x <> y").where((F.col("m") > 2) | (F.col("few") >= least * F.col("many") - 1e-9))
-    apart = stored(apart.select("h", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "apart-lists")
-    rows = rooted.drop("n").join(F.broadcast(apart) if apart.count() <= 100_000 else apart.hint("merge"), "h").join(sketches, "node")
+    rows = rows.select("h", "node", "n", "root").repartition("h").sortWithinPartitions("h", "n", "root")
+    apart = stored(rows.mapInArrow(useful, "h long, node long, root long"), "apart")
+    rows = apart.join(F.broadcast(big) if big.count() <= 100_000 else big.hint("merge"), "h", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).join(sketches, "node")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     if mode == "all":
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
@@ -261,15 +301,15 @@ def _candidates(lists: DataFrame, sketches: DataFrame, root: DataFrame | None, l
 
     dealt = rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
     pairs = stored(dealt.mapInArrow(trimmed(each), "a long, b long").distinct(), "candidates")
-    discard(rooted, apart)
+    discard(apart)
     return pairs
 
 
 class Verifier:
-    """Which pairs have sets of the similarity. Tallies rule most others out; only texts of members of pairs that are left are read again, once."""
+    """Which pairs have sets of the similarity. Tallies, fine ones for long sets, rule most others out; only texts of members of pairs that are left are read again, once."""
 
     def __init__(self, marks: DataFrame, known: DataFrame, rows: DataFrame, least: float):
-        self.marks, self.known, self.rows, self.least, self.sets = marks, known, rows, least, None
+        self.marks, self.known, self.rows, self.least, self.sets, self.read = marks, known, rows, least, None, []
 
     def _read(self, nodes: DataFrame) -> None:
         """Add the sets of nodes that aren't there yet."""
@@ -285,6 +325,7 @@ class Verifier:
 
         on = [self.rows[c].eqNullSafe(first[c]) for c in ("mark", "doc_id")]
         found = stored(self.rows.join(first, on, "left_semi").select("text").mapInArrow(trimmed(sets), "node long, s array<long>").dropDuplicates(["node"]), "sets")
+        self.read.append(found)
         self.sets = found if self.sets is None else self.sets.unionByName(found)
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -293,7 +334,11 @@ class Verifier:
         def bounded(batches):
             for batch in batches:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array(alike(x, y, np.asarray(batch.column("n")), least)))
+                n = np.asarray(batch.column("n"))
+                ok = alike(x, y, n, least)
+                for k in np.flatnonzero(ok).tolist():
+                    ok[k] = finely_alike(batch.column("fine_x")[k].as_py(), batch.column("fine_y")[k].as_py(), int(n[k]), least)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
 
         def exact(batches):
             for batch in batches:
@@ -306,12 +351,16 @@ class Verifier:
                     ok.append(both >= least * (len(p) + len(q) - both) - 1e-9)
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        tallied = lambda c, t: self.known.select(F.col("node").alias(c), F.col("tally").alias(t), F.col("n").alias(f"n_{t}"))
+        tallied = lambda c, t: self.known.select(F.col("node").alias(c), F.col("tally").alias(t), F.col("n").alias(f"n_{t}"), F.col("fine").alias(f"fine_{t}"))
         both = pairs.join(tallied("a", "x"), "a").join(tallied("b", "y"), "b")
-        left = stored(both.select("a", "b", "x", "y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(bounded, "a long, b long"), "bounded")
-        self._read(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        side = lambda c, s: self.sets.select(F.col("node").alias(c), F.col("s").alias(s))
-        return stored(left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(exact), "a long, b long"), "found")
+        left = stored(both.select("a", "b", "x", "y", "fine_x", "fine_y", (F.col("n_x") + F.col("n_y")).alias("n")).mapInArrow(bounded, "a long, b long"), "bounded")
+        ends = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        self._read(ends)
+        own = self.sets.join(ends, "node", "left_semi")  # of the sets of all rounds
+        side = lambda c, s: own.select(F.col("node").alias(c), F.col("s").alias(s))
+        found = stored(left.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(trimmed(exact), "a long, b long"), "found")
+        discard(left, ends)
+        return found
 
 
 def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
@@ -334,10 +383,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    marks = stored(marked(rows, least), "marks")
-    nodes = marks.dropDuplicates(["node"])
-    known = stored(nodes.select("node", "n", "tally", "bits", F.slice(F.sort_array("prefix"), 1, F.when(F.col("n") > LONG, LONG_HEAD).otherwise(HEAD)).alias("head")), "sketches")
+    wide = stored(marked(rows, least), "marked")
+    marks = stored(wide.select("doc_id", "mark", "fp", "node"), "marks")
+    nodes = stored(wide.drop("doc_id", "mark", "fp").dropDuplicates(["node"]), "nodes")
+    discard(wide)
+    known = stored(nodes.select("node", "n", "tally", "fine", "bits", F.slice(F.sort_array("prefix"), 1, F.when(F.col("n") > LONG, LONG_HEAD).otherwise(HEAD)).alias("head")), "sketches")
     lists = stored(nodes.select(F.explode("prefix").alias("h"), "node", "n").repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long, n int"), "lists")
+    discard(nodes)
+    big = stored(lists.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1"), "big-lists")
     some = lists.where(F.pmod(F.xxhash64("h"), F.lit(SOME)) == 0)
     long = F.col("n") > LONG
     sketches = lambda mode: known.select("node", "n", "bits", F.when(long, F.col("tally")).otherwise(F.lit(b"")).alias("tally"), F.col("head") if mode == "all" else F.array().cast("array<long>").alias("head"))
@@ -348,10 +401,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     found = stored(near.unionByName(same), "found")
     root, verify = stored(components(found), "roots"), Verifier(marks, known, rows, least)
     for mode, taken in (("first", some), ("nearest", some), ("nearest", lists), ("all", lists)):
-        pairs = _candidates(taken, sketches(mode), root, least, mode)
+        pairs = _candidates(taken, big, sketches(mode), root, least, mode)
         if not pairs.isEmpty():
-            root, before = _joined(root, verify(pairs)), root
-            discard(before)
+            new, before = verify(pairs), root
+            root = _joined(before, new)
+            discard(before, new)
         discard(pairs)
     placed = marks.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return keep_rows(docs, placed, id_col, text_col)
+    out = keep_rows(docs, placed, id_col, text_col)
+    discard(marks, known, lists, big, by_fp, found, root, *verify.read)
+    return out
