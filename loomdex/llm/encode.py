@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 REMEMBERED = 900_000
 #: White space other than single spaces and line ends between other characters.
 _OTHER_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that a byte-level file cuts from a letter before them; only letters that every Unicode version has.
+_TAILS, _TAILED = ".,", r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]\%s$"
 #: Bytes of text to encode at a time.
 ENCODE_BYTES = 8 << 20
 _encoders: dict[str, Encoder] = {}
@@ -24,7 +26,7 @@ class Encoder:
 
     Texts are cut into chunks at white space where the file's pre-tokenizer always cuts too, and each distinct chunk is encoded once:
     a byte-level file cuts before a space or line end that stands alone between other characters, and after such a line end; a file that drops
-    white space cuts at all of it. A text with other white space, under a byte-level file, or any text under another kind of file is encoded whole.
+    white space cuts at all of it. Under a byte-level file a full stop or comma that ends a chunk after a letter is cut off too. A text with other white space, under a byte-level file, or any text under another kind of file is encoded whole.
     New chunks are encoded many to a call, apart by a mark that has one id of its own; chunks that hold the mark go alone.
     """
 
@@ -43,6 +45,8 @@ class Encoder:
         self.mark = "\n" if self.leading else " \x01 "
         ids = self._ids(self.mark)
         self.mark_id = ids[0] if len(ids) == 1 else None
+        tails = {x: self._ids(x) for x in _TAILS if self.leading and not any(x in y["content"] for y in spec["added_tokens"])}
+        self.tails = {x: ids[0] for x, ids in tails.items() if len(ids) == 1}
         self.clear()
 
     def _ids(self, text: str) -> list[int]:
@@ -70,13 +74,15 @@ class Encoder:
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, sizes) of chunks none of which is empty."""
-        alone = np.array([self.mark_id is None or self.mark.strip(" ") in c for c in chunks], bool)
+        inner = self.mark.strip(" ")
+        alone = np.array([self.mark_id is None or inner in c for c in chunks], bool)
         sizes = np.zeros(len(chunks), np.int64)
         joined = np.flatnonzero(~alone)
+        names = [chunks[j] for j in joined.tolist()] if alone.any() else chunks
         flat, where = [], []
         for k in range(0, len(joined), 2000):
             some = joined[k : k + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join([chunks[j] for j in some])], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(names[k : k + 2000])], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.mark_id)
             if len(cut) != len(some) - 1:  # not to be expected; each by itself is right anyway
                 alone[some] = True
@@ -134,7 +140,12 @@ class Encoder:
         off = off - off[0]
         coded = chunks.dictionary_encode()
         index, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+        tail = None
         if self.leading:
+            ends_with = np.full(len(names), -1, np.int64)  # the id of the mark that ends a chunk
+            for x, number in self.tails.items():
+                ends_with[np.asarray(pc.match_substring_regex(names, _TAILED % x), bool)] = number
+            tail = ends_with[index]
             line = pc.index_in(pa.scalar("\n", pa.large_string()), value_set=names).as_py()
             head = np.zeros(len(index), bool)
             head[off[:-1]] = True
@@ -142,6 +153,9 @@ class Encoder:
                 at = np.flatnonzero(index == line)
                 head[at] = True
                 head[at + 1] = True
+            whole = names.cast(pa.large_binary())
+            coded = pc.if_else(pa.array(ends_with >= 0), pc.binary_slice(whole, 0, -1), whole).cast(pa.large_string()).dictionary_encode()
+            index, names = np.asarray(coded.indices).astype(np.int64)[index], coded.dictionary
             needed = np.zeros((2, len(names)), bool)
             needed[1, index[head]] = True
             needed[0, index[~head]] = True
@@ -154,8 +168,12 @@ class Encoder:
         else:
             which = self._numbers(names)[index]
         size = self.size[which]
+        if tail is not None:
+            size = size + (tail >= 0)
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size)]
+        ids = self.flat.take(np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size), mode="clip")
+        if tail is not None:  # what was taken from behind the chunk gives way to the mark
+            ids[ends[1:][tail >= 0] - 1] = tail[tail >= 0]
         starts = ends[off]
         del lists, chunks, coded, index, which
         if odd.any():
