@@ -60,8 +60,12 @@ def doc_lines(docs: DataFrame) -> DataFrame:
 
 
 def fetch(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """The offline stand-in of a download: (url, final_url, status, error, content), 404 where the page store lacks the URL."""
-    have = pages.select(F.col("url").alias("final_url"), F.col("html").alias("content"))
+    """The offline stand-in of a download: (url, final_url, status, error, content), 404 where the page store lacks the URL.
+
+    One response a row of the frontier: of a URL that the store has twice, the page of the smallest page_id counts.
+    """
+    first = F.min(F.struct(*(c for c in ("page_id", "html") if c in pages.columns)))
+    have = pages.groupBy(F.col("url").alias("final_url")).agg(first.alias("p")).select("final_url", F.col("p.html").alias("content"))
     got = frontier.join(have, F.col("url") == F.col("final_url"), "left")
     missing = F.col("final_url").isNull()
     return got.select("url", F.coalesce("final_url", "url").alias("final_url"), F.when(missing, 404).otherwise(200).alias("status"), F.when(missing, "not found").alias("error"), "content")
