@@ -43,3 +43,9 @@ def test_fetch_status_of_a_store_with_a_url_twice(spark, folder):
     pages = spark.read.parquet(f"{folder.path}/pages.parquet")
     got = {(r.url, r.content) for r in fetch(pages.select("url").distinct(), pages).collect()}
     assert got == {("http://a.example.com/x", "old"), ("http://a.example.com/y#top", "y"), ("http://a.example.com/z", None)}
+
+
+def test_page_titles_of_cut_references(spark, folder):
+    page = "<html><head><title>{}</title></head><body>x</body></html>".format
+    folder("pages", [(k, f"http://a.example.com/{k}", page(t)) for k, t in enumerate(["a &amp; b&amp", "x = &quot;y", " &lt;b&gt; &#39;q&#39; &amp;lt; ", ""])], PAGES)
+    same_as_sql(spark, folder.path, "page_titles", ["pages"])
