@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.config import DEFAULT, Config
-from loomdex.runtime import arrow_udf
+from loomdex.runtime import flat_udf
 
 
 def _half(token: Column, first: int) -> Column:
@@ -27,32 +28,14 @@ def footprints(counts: DataFrame, key: str = "doc_id") -> DataFrame:
     return sums.select(key, fold("h").alias("fp_hi"), fold("l").alias("fp_lo"))
 
 
-@arrow_udf("fp_hi long, fp_lo long")
-def footprint(words: pd.Series) -> pd.DataFrame:
+@flat_udf("fp_hi long, fp_lo long")
+def footprint(words: pa.Array) -> pa.Array:
     """The same footprint from a token array, without a shuffle."""
-    import hashlib
-    from collections import Counter
-
-    import numpy as np
-
-    memo: dict[str, np.ndarray] = {}
-
-    def bits(w: str) -> np.ndarray:
-        if w not in memo:
-            if len(memo) > 100_000:
-                memo.clear()
-            memo[w] = np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8)).astype(np.int64) * 2 - 1
-        return memo[w]
-
-    hi, lo = [], []
-    for w in words:
-        total = np.zeros(64, np.int64)
-        for t, n in Counter(() if w is None else w).items():
-            total += n * bits(t)
-        value = int.from_bytes(np.packbits(total >= 1).tobytes(), "big")
-        hi.append(value >> 32)
-        lo.append(value & 0xFFFFFFFF)
-    return pd.DataFrame({"fp_hi": hi, "fp_lo": lo})
+    from loomdex.functions import tally
+
+    made = [tally.footprints(x.column(0)) for x in tally.pieces(pa.record_batch([words], names=["w"]), "w")]
+    halves = [np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in (0, 1)]
+    return pa.StructArray.from_arrays([pa.array(h) for h in halves], names=["fp_hi", "fp_lo"])
 
 
 def distance(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-import gc
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored
+from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored, trimmed
 
 __all__ = ["discard", "distinct_name", "hadoop_path", "keep_rows", "pick", "plain_names", "scratch_path", "ship", "size_of", "stored", "text_blocks", "trimmed", "utf8"]
 
@@ -86,26 +82,3 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first, last = offsets[0], offsets[-1]
     raw = np.frombuffer(data, np.uint8, last - first, first) if data is not None and last > first else np.zeros(0, np.uint8)
     return raw, offsets - first
-
-
-def _trim() -> None:
-    """Give free memory of this process back to the system, as far as its allocators can."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def trimmed(each):
-    """A map over batches whose worker, which later tasks use again, starts and ends without the free memory of what ran in it."""
-
-    @functools.wraps(each)
-    def run(batches):
-        _trim()
-        try:
-            yield from each(batches)
-        finally:
-            _trim()
-
-    return run

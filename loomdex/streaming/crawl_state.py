@@ -71,12 +71,12 @@ def running_counts(stats: DataFrame) -> DataFrame:
 
 def index_stream(pages: DataFrame, path: str, checkpoint: str, config: Config = DEFAULT):
     """An extension: every micro-batch of pages is extracted and its postings, not yet scored, are added at path; scores need the corpus and are made on reading."""
+    from loomdex.functions import tally
     from loomdex.operators.documents import analyse, extract
-    from loomdex.operators.index import occurrences, postings
 
     def add(batch: DataFrame, number: int) -> None:
         docs = analyse(extract(batch).where("error is null"), config).withColumnRenamed("page_id", "doc_id")
-        postings(occurrences(docs, 1, config), config).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        tally.postings(docs, (1,), config).select("term", "doc_id", "positions", "wtf").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

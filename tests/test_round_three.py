@@ -49,3 +49,85 @@ def test_page_titles_of_cut_references(spark, folder):
     page = "<html><head><title>{}</title></head><body>x</body></html>".format
     folder("pages", [(k, f"http://a.example.com/{k}", page(t)) for k, t in enumerate(["a &amp; b&amp", "x = &quot;y", " &lt;b&gt; &#39;q&#39; &amp;lt; ", ""])], PAGES)
     same_as_sql(spark, folder.path, "page_titles", ["pages"])
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TEXTS = ["The cat, the CAT and the dog's cat sat.", "the cat\n\nsat on the mat\nthe cat sat", "", None, "at 7 o'clock", "a", "é the cat é sat"]
+
+
+@pytest.fixture
+def docs(folder):
+    folder("documents", [(k + 3, t, "en", "the.example.com", len(t or "")) for k, t in enumerate(TEXTS)], DOCS)
+    folder("benchmark", [(0, "the cat sat on the mat"), (1, "the and of"), (2, "clock dog cat"), (3, "")], "item_id long, text string")
+    return folder.path
+
+
+def plan(spark, path, name):
+    return __spark_entry__.queries()[name](spark, path)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bigram_positions", "weighted_postings"])
+def test_a_document_is_counted_where_it_lies(spark, docs, name):
+    """Without a shuffle by document or term, a sort or lists that are collected."""
+    made = plan(spark, docs, name)
+    assert "hashpartitioning" not in made and "Aggregate" not in made and "Sort" not in made and "ArrowEvalPython [pandas" not in made
+    if name != "weighted_postings":
+        same_as_sql(spark, docs, name, ["documents"])
+
+
+@pytest.mark.parametrize("name", ["posting_lines", "posting_decode"])
+def test_posting_lines_take_one_shuffle(spark, docs, name):
+    made = plan(spark, docs, name)
+    assert made.count("hashpartitioning") == 1 and "collect_list" not in made and "Join" not in made
+    same_as_sql(spark, docs, name, ["documents"])
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_lines_across_batches(spark, size):
+    """A list that several batches for Python hold is one line."""
+    from loomdex.operators import index
+
+    rows = [(f"t{k // 5}", k, [k, k + 1], 0.5) for k in range(23)] + [("u", 99, [1], 1.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        d = spark.createDataFrame(rows, "term string, doc_id long, positions array<int>, score double")
+        got = {r.term: r.line for r in index.encode(d, 2).collect()}
+        back = sorted(tuple(r) for r in index.decode(index.encode(d, 2)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert back == sorted(rows) and len(got) == 6 and got["u"] == "u:[12][99,[1],1.0]"
+
+
+@pytest.mark.parametrize("name", ["and_query", "cutoff_ladder", "cosine_rank", "phrase_bonus", "relaxed_search"])
+def test_the_index_has_the_terms_that_are_asked_for(spark, docs, name):
+    from loomdex.plans import catalog
+
+    same_as_sql(spark, docs, name, ["documents", "benchmark"])
+    ix = catalog._index(spark, docs)
+    assert {r.term for r in ix.unigrams.collect()} == {"cat", "sat", "dog", "clock"}
+    assert {r.term for r in ix.bigrams.collect()} <= {"the cat", "cat sat", "sat on", "on the", "the mat", "dog cat", "the and", "and of", "clock dog"}
+
+
+def test_tfidf_makes_postings_once(spark, docs):
+    same_as_sql(spark, docs, "tfidf", ["documents"])
+    assert plan(spark, docs, "tfidf").count("MapInArrow") == 0  # made and stored before
+
+
+def test_slices_are_whole(spark):
+    """Long documents, more than a worker takes at a time, give what one pass over each gives."""
+    from collections import Counter
+
+    from loomdex.functions import tally
+
+    rows = [(k, [f"w{(i * i + k) % 97}" for i in range(n)]) for k, n in enumerate([0, 5, 3000, 1, 2, 7000, 0, 40])]
+    old, tally.TOKENS = tally.TOKENS, 1000
+    try:
+        d = spark.createDataFrame(rows, "doc_id long, words array<string>").coalesce(1)
+        got = {(r.doc_id, r.term): r for r in tally.postings(d, (1, 2)).collect()}
+    finally:
+        tally.TOKENS = old
+    from loomdex.functions.stemmer import stem
+
+    want = Counter((k, stem(w)) for k, ws in rows for w in ws) + Counter((k, f"{stem(a)} {stem(b)}") for k, ws in rows for a, b in zip(ws, ws[1:], strict=False))
+    assert {k: r.n for k, r in got.items()} == want
+    assert all(len(r.positions) == r.n == r.wtf and r.positions == sorted(r.positions) for r in got.values())
