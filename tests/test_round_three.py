@@ -113,6 +113,16 @@ def test_tfidf_makes_postings_once(spark, docs):
     assert plan(spark, docs, "tfidf").count("MapInArrow") == 0  # made and stored before
 
 
+def test_vocabulary_by_partitions_that_grow(spark, docs, monkeypatch):
+    from loomdex.plans import catalog
+
+    assert same_as_sql(spark, docs, "vocabulary", ["documents"])
+    monkeypatch.setattr(catalog, "PART_BYTES", 8)
+    assert catalog._parts(spark, docs) > 100
+    made = plan(spark, docs, "vocabulary")
+    assert f"term#{made.split('hashpartitioning(')[1].split('term#')[1].split(',')[0]}, {catalog._parts(spark, docs)})" in made
+
+
 def test_slices_are_whole(spark):
     """Long documents, more than a worker takes at a time, give what one pass over each gives."""
     from collections import Counter
