@@ -66,7 +66,7 @@ def plan(spark, path, name):
     return __spark_entry__.queries()[name](spark, path)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bigram_freq", "bigram_positions", "weighted_postings", "simhash"])
+@pytest.mark.parametrize("name", ["bigram_freq", "bigram_positions", "weighted_postings", "token_positions", "simhash"])
 def test_a_document_is_counted_where_it_lies(spark, docs, name):
     """Without a shuffle by document or term, a sort or lists that are collected."""
     made = plan(spark, docs, name)
