@@ -93,18 +93,20 @@ def both_queries(a: Column, b: Column) -> Column:
     return F.contains(a, F.lit("?")) & F.contains(b, F.lit("?"))
 
 
-@arrow_udf("array<string>")
-def resolve(base: pd.Series, links: pd.Series) -> pd.Series:
-    """Links joined with the page's URL, without fragments, distinct and sorted."""
+def joined(base: str | None, links) -> list[str]:
+    """A page's links joined with its URL, without fragments, distinct and sorted."""
     from urllib.parse import urldefrag, urljoin
 
-    def one(b, xs):
-        out = set()
-        for x in () if xs is None or b is None else xs:
-            try:
-                out.add(urldefrag(urljoin(b, x))[0])
-            except ValueError:  # not a URL: skipped like any page error
-                continue
-        return sorted(out)
+    out = set()
+    for x in () if links is None or base is None else links:
+        try:
+            out.add(urldefrag(urljoin(base, x))[0])
+        except ValueError:  # not a URL: skipped like any page error
+            continue
+    return sorted(out)
+
 
-    return pd.Series([one(b, xs) for b, xs in zip(base, links, strict=True)])
+@arrow_udf("array<string>")
+def resolve(base: pd.Series, links: pd.Series) -> pd.Series:
+    """Links joined with the page's URL, without fragments, distinct and sorted."""
+    return pd.Series([joined(b, xs) for b, xs in zip(base, links, strict=True)])

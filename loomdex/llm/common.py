@@ -8,14 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored, trimmed
+from loomdex.runtime import discard, hadoop_path, scratch_path, ship, stored, text_blocks, trimmed
 
 __all__ = ["discard", "distinct_name", "hadoop_path", "keep_rows", "pick", "plain_names", "scratch_path", "ship", "size_of", "stored", "text_blocks", "trimmed", "utf8"]
 
-#: Bytes of text that a Python worker turns into numpy arrays at a time.
-BLOCK_BYTES = 4 << 20
-
-
 def distinct_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:
@@ -54,19 +50,6 @@ def size_of(df: DataFrame, *columns: str) -> tuple[int, int]:
     return row[0], sum(x or 0 for x in row[1:])
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
-    """Slices of a batch of about `most` text bytes; a longer text has a slice of its own. Between slices Arrow's free memory goes back to the system."""
-    arr = batch.column(column)
-    lengths = np.asarray(pc.fill_null(pc.binary_length(arr), 0))
-    at, n = 0, len(lengths)
-    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    while at < n:
-        end = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        pa.default_memory_pool().release_unused()
-        at = end
-
-
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes as uint8 and its n + 1 offsets; null counts as empty."""
     if arr.null_count:

@@ -9,16 +9,14 @@ from pyspark.sql.window import Window
 from loomdex.config import DEFAULT, Config
 from loomdex.functions import analyzer, footprint, urls
 from loomdex.runtime import ship, stored
-from loomdex.sources.html import page
+from loomdex.sources.html import pages as parsed
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url (without fragment), title, elems, links (absolute), n_tags, n_loc, is_html, error."""
     ship(pages.sparkSession)
     url = urls.defrag(F.col("url"))
-    parsed = pages.select("page_id", url.alias("url"), page(F.coalesce("html", F.lit("")), F.coalesce(url, F.lit(""))).alias("p"))
-    flat = parsed.select("page_id", "url", "p.*")
-    return flat.withColumn("links", urls.resolve("url", "links"))
+    return parsed(pages.select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html")))
 
 
 def errors(extracted: DataFrame) -> DataFrame:

@@ -141,3 +141,56 @@ def test_slices_are_whole(spark):
     want = Counter((k, stem(w)) for k, ws in rows for w in ws) + Counter((k, f"{stem(a)} {stem(b)}") for k, ws in rows for a, b in zip(ws, ws[1:], strict=False))
     assert {k: r.n for k, r in got.items()} == want
     assert all(len(r.positions) == r.n == r.wtf and r.positions == sorted(r.positions) for r in got.values())
+
+
+def test_pages_are_parsed_in_one_pass(spark, folder, monkeypatch):
+    """One map of a worker a task parses and joins links, block by block, with the same rows as in one block."""
+    from loomdex.operators import documents
+    from loomdex.sources import html
+
+    rows = [(k, f"http://a.example.com/{k}#x" if k % 7 else None, f"<html><title>t{k}</title><p>{'word ' * k}</p><a href='b/{k}#y'>b</a><a href='http://['>c</a></html>" if k % 5 else None) for k in range(40)]
+    d = spark.createDataFrame(rows, PAGES).coalesce(1)
+    got = documents.extract(d)
+    made = got._jdf.queryExecution().executedPlan().toString()
+    assert made.count("MapInArrow") == 1 and "EvalPython" not in made
+    whole = sorted(map(str, got.collect()))
+    monkeypatch.setattr(html, "BLOCK_BYTES", 100)
+    assert sorted(map(str, documents.extract(d).collect())) == whole and len(whole) == 40
+    assert {r.page_id: r.links for r in got.collect()}[6] == ["http://a.example.com/b/6"]
+
+
+def test_query_traps_hold_no_path_whole(spark):
+    from loomdex.streaming import crawl_state
+
+    schema = "path_key string, page_id long, url string, fp_hi long, fp_lo long, pattern string"
+    rows = [(f"h/{k % 3}", k, f"u{k}", (k // 18) % 2 * 0xFFFFFFFF, 0, f"^{k % 3}") for k in ((i * 37) % 101 for i in range(101))]
+    d = crawl_state.query_traps(spark.createDataFrame(rows, schema))
+    made = d._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in made and "MapInArrow" in made
+    want, states = [], {}
+    for path, page_id, url, hi, lo, pattern in sorted(rows):
+        states[path], skip, n, black = crawl_state.step(states.get(path), hi, lo)
+        want.append((path, page_id, url, skip, n, pattern if black else None))
+    assert sorted(map(str, map(tuple, d.collect()))) == sorted(map(str, want)) and any(w[-1] for w in want)
+
+
+def test_search_pages_has_an_index_of_asked_terms(spark, folder, monkeypatch):
+    from loomdex.operators import index
+    from loomdex.plans import catalog
+
+    folder("pages", [(k, f"http://a.example.com/{k}", f"<html><title>cat {k}</title><p>the cats sat on mat{k} {'dog ' * k}</p></html>") for k in range(5)], PAGES)
+    folder("benchmark", [(0, "a cat sat"), (1, "the and")], "item_id long, text string")
+    made, build = [], index.build
+    monkeypatch.setattr(index, "build", lambda *a, **b: made.append(build(*a, **b)) or made[-1])
+    got = catalog.search_pages(spark, folder.path).collect()
+    assert {r.term for r in made[0].unigrams.collect()} == {"cat", "sat"} and made[0].bigrams.isEmpty()
+    from loomdex.operators import documents, search
+
+    full = search.search(build(documents.build(spark.read.parquet(f"{folder.path}/pages.parquet"))), catalog._queries(spark, folder.path))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, full.select(*got[0].asDict()).collect()))
+
+
+def test_stems_that_a_worker_remembers_are_few():
+    from loomdex.functions import stemmer
+
+    assert stemmer.stem.cache_info().maxsize <= 1 << 16
