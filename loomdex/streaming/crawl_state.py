@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomdex.config import DEFAULT, Config
 from loomdex.functions import urls
+from loomdex.runtime import trimmed
 
+#: Rows that a Python worker turns into objects at a time.
+ROWS = 2_000
 TRAP = "path_key string, page_id long, url string, suppressed boolean, counter int, pattern string"
 _STATE = "fp_hi long, fp_lo long, counter int"
 
@@ -43,8 +47,27 @@ def _visits(state, rows: pd.DataFrame, config: Config):
 
 
 def query_traps(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Decisions for query_pages() in page_id order, in a batch; pattern is set where a path gets blacklisted."""
-    return pages.groupBy("path_key").applyInPandas(lambda rows: _visits(None, rows, config)[1], TRAP)
+    """Decisions for query_pages() in page_id order, in a batch; pattern is set where a path gets blacklisted.
+
+    A path's pages are read as a sorted stream: what is held is one path's state and a block of rows, however many pages a path has.
+    """
+    asked = ["path_key", "page_id", "url", "fp_hi", "fp_lo", "pattern"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.string()]
+    names = [x.split()[0] for x in TRAP.split(", ")]
+
+    def each(batches):
+        key, state = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                out = []
+                for path, page_id, url, hi, lo, pattern in zip(*(whole.column(c).slice(at, ROWS).to_pylist() for c in asked), strict=True):
+                    if path != key:
+                        key, state = path, None
+                    state, suppressed, n, black = step(state, hi, lo, config)
+                    out.append((path, page_id, url, suppressed, n, pattern if black else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return pages.select(*asked).repartition("path_key").sortWithinPartitions("path_key", "page_id", "url").mapInArrow(trimmed(each), TRAP)
 
 
 def query_traps_stream(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
