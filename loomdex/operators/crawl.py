@@ -12,13 +12,15 @@ from pyspark.sql.window import Window
 from loomdex.config import DEFAULT, Config
 from loomdex.functions import analyzer, footprint, urls
 from loomdex.operators.documents import extract
-from loomdex.runtime import discard, hadoop_path, ship, stored
+from loomdex.runtime import discard, hadoop_path, ship, stored, trimmed
 from loomdex.sources import robots as robots_source
 from loomdex.sources.store import fetch
 
 BLACKLIST = "reason string, pattern string"
 #: Patterns without a literal host up to which they are part of the plan.
 ANYWHERE = 10_000
+#: Rows that a Python worker turns into objects at a time.
+ROWS = 2_000
 
 
 def low_value(n_tags: Column, n_tokens: Column, config: Config = DEFAULT) -> Column:
@@ -236,7 +238,7 @@ def page_checks(stats: DataFrame, referrers: DataFrame, prints: DataFrame, state
             out.clear()
             return made
 
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             for r in b.to_pylist():
                 if r["host"] != host:
                     close()
@@ -253,7 +255,7 @@ def page_checks(stats: DataFrame, referrers: DataFrame, prints: DataFrame, state
         if out:
             yield batch()
 
-    return rows.select(*_ASKED).unionByName(old.select(*_ASKED)).repartition("host").sortWithinPartitions("host", "seq", "url").mapInArrow(each, CHECKED)
+    return rows.select(*_ASKED).unionByName(old.select(*_ASKED)).repartition("host").sortWithinPartitions("host", "seq", "url").mapInArrow(trimmed(each), CHECKED)
 
 
 def expand(stats: DataFrame, blacklist: DataFrame, ruled: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
